@@ -8,7 +8,7 @@ Messages are formatted on their own, as Arrow batches, and then put together by
 holds comes together in one place.
 
 Defined results: null content is an empty message; content that isn't a JSON array of parts is one text part; parts of unknown
-type, or not of the expected form, are kept as text placeholders `<|unknown|>` and counted as one token; a null role is 'user'; repeated turns are all kept, in a fixed order;
+type, not of the expected form, or nested deeper than `most_depth`, are kept as text placeholders `<|unknown|>` and counted as one token; a null role is 'user'; repeated turns are all kept, in a fixed order;
 a null conv_id is a conversation of its own; extra columns aren't read. An empty table gives an empty result.
 """
 
@@ -38,6 +38,7 @@ class Format:
     most_image_tokens: int = 1280
     audio_tokens_per_second: float = 12.5
     bytes_per_token: int = 4
+    most_depth: int = 32
 
 
 @dataclass
@@ -48,13 +49,18 @@ class Visitor:
     text: list[str] = field(default_factory=list)
     refs: list[str] = field(default_factory=list)
     tokens: int = 0
+    depth: int = 0
 
     def visit(self, part) -> None:
         if isinstance(part, str):
             self.visit_text({"text": part})
+        elif isinstance(part, (list, dict)) and self.depth > self.format.most_depth:
+            self.visit_unknown(part)
         elif isinstance(part, list):
+            self.depth += 1
             for p in part:
                 self.visit(p)
+            self.depth -= 1
         else:
             kind = part.get("type") if isinstance(part, dict) else None
             getattr(self, f"visit_{kind}" if kind in ("text", "image", "audio", "document") else "visit_unknown")(part)
