@@ -232,7 +232,7 @@ def train(rows: list[tuple]) -> Model:
     plain = x.copy()
     plain[:, -2:] = 0  # quality doesn't look at the list
     if not len(rows):
-        return Model(Additive([], 0.0), Additive([], -1e-9), listed)
+        return Model(Additive([], 0.0), Additive([], 0.0), listed)
     only = np.zeros_like(x[half:])
     only[:, -2:] = x[half:, -2:]  # toxicity looks at nothing else: form and language are no sign of it
     return Model(fit(plain, quality), fit(only, toxic[half:]), listed)
@@ -250,9 +250,9 @@ def scorer(model: Model):
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with quality_score, toxic_score, and keep: quality of at least 0.5, toxic below 0.5."""
+    """docs with quality_score, toxic_score, and keep: quality of at least 0.5, toxic of at most 0.5."""
     score = scorer(train(labelled_sample(docs, labels, sample)))
     s, q, t, k = (free_name(docs, c) for c in ("seamark_scores", "quality_score", "toxic_score", "keep"))
     scored = docs.withColumn(s, score(F.col("text").cast("string")))
     scored = scored.withColumn(q, F.round(F.col(f"{s}.quality"), 6)).withColumn(t, F.round(F.col(f"{s}.toxic"), 6)).drop(s)
-    return scored.withColumn(k, (F.col(q) >= 0.5) & (F.col(t) < 0.5))
+    return scored.withColumn(k, (F.col(q) >= 0.5) & (F.col(t) <= 0.5))
