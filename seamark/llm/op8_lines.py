@@ -44,15 +44,15 @@ def dedup_lines(docs: DataFrame, share: float = SHARE, least_docs: int = LEAST_D
     count = free_name(docs, "dropped_lines")
     hot = written(frequent_lines(docs.select("doc_id", "text"), share, least_docs), "lines")
     # A row is known by its text's hash: rows of one text lose the same lines.
-    key = free_name(docs, "text_key")
+    key, other, cuts = (free_name(docs, c) for c in ("text_key", "seamark_key", "seamark_drop"))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     at = docs.select(F.xxhash64("text").alias("k"), F.posexplode(_hashes(F.col("text"))).alias("pos", "line_hash")).filter("line_hash IS NOT NULL")
     drop = at.join(hot, "line_hash").groupBy("k").agg(F.collect_set("pos").alias("drop_at"))
-    drop = drop.select(F.col("k").alias("seamark_key"), F.col("drop_at").alias("seamark_drop"))
-    joined = keyed.join(drop, F.col(key) == F.col("seamark_key"), "left")
-    kept = F.expr(f"filter(split(`text`, '\\n', -1), (x, i) -> NOT array_contains(seamark_drop, i))")
-    text = F.when(F.col("seamark_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.coalesce(F.size("seamark_drop"), F.lit(0))
+    drop = drop.select(F.col("k").alias(other), F.col("drop_at").alias(cuts))
+    joined = keyed.join(drop, F.col(key) == F.col(other), "left")
+    kept = F.expr(f"filter(split(`text`, '\\n', -1), (x, i) -> NOT array_contains(`{cuts}`, i))")
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.coalesce(F.size(cuts), F.lit(0))
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), dropped.alias(count))
 
 
