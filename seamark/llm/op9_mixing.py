@@ -89,9 +89,9 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.
     full = np.cumsum(t) - t  # tokens of the cells before, all taken
     left = np.cumsum(w[::-1])[::-1]
     scale = np.divide(budget - full, left, out=np.full(len(t), np.inf), where=left > 0)
-    fits = np.flatnonzero((scale * n <= 1) & (budget >= full))
-    s = scale[fits[0]] if len(fits) else np.inf
     with np.errstate(invalid="ignore"):
+        fits = np.flatnonzero((scale * n <= 1) & (budget >= full))
+        s = scale[fits[0]] if len(fits) else np.inf
         return np.where(need > 0, np.minimum(1.0, np.where(need > 0, s, 0) * need), 0.0)
 
 
@@ -125,13 +125,14 @@ def mix_sources(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     targets = targets or Targets()
     spark = docs.sparkSession
     names = {c: free_name(docs, c) for c in ("topic", "tokens", "weight", "probability")}
+    mine, theirs = ([free_name(docs, f"{side}_{c}") for c in ("source", "lang", "topic")] for side in ("doc", "cell"))
     cell = [F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("s"), F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("l"), topic_of(F.col("text")).alias("t")]
     sums = docs.select(*cell, tokens_of(F.col("text")).alias("n")).groupBy("s", "l", "t").agg(F.sum("n").alias("n"))
     cells = [tuple(r) for r in sums.limit(targets.most_cells + 1).collect()]
     if len(cells) > targets.most_cells:
         raise ValueError(f"more than {targets.most_cells} cells of source, language and topic: merge small sources first")
-    known = spark.createDataFrame(cell_probabilities(cells, targets), "cell_s string, cell_l string, cell_t string, cell_n double, cell_w double, cell_p double")
-    keyed = docs.select(*(docs[f"`{c}`"] for c in docs.columns), tokens_of(F.col("text")).alias(names["tokens"]), *(c.alias("seamark_" + n) for c, n in zip(cell, "slt")))
-    joined = keyed.join(known, (F.col("seamark_s") == F.col("cell_s")) & (F.col("seamark_l") == F.col("cell_l")) & (F.col("seamark_t") == F.col("cell_t")))
-    kept = joined.filter((uniform(F.col("doc_id")) < F.col("cell_p")) & (F.col(names["tokens"]) > 0))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("seamark_t").alias(names["topic"]), names["tokens"], F.col("cell_w").alias(names["weight"]), F.col("cell_p").alias(names["probability"]))
+    known = spark.createDataFrame([(*c[:3], *c[4:]) for c in cell_probabilities(cells, targets)], ", ".join([*(f"{c} string" for c in theirs), f"{names['weight']} double", f"{names['probability']} double"]))
+    keyed = docs.select(*(docs[f"`{c}`"] for c in docs.columns), tokens_of(F.col("text")).alias(names["tokens"]), *(c.alias(n) for c, n in zip(cell, mine)))
+    same = [F.col(a) == F.col(b) for a, b in zip(mine, theirs)]
+    kept = keyed.join(known, same).filter((uniform(F.col("doc_id")) < F.col(names["probability"])) & (F.col(names["tokens"]) > 0))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(mine[2]).alias(names["topic"]), names["tokens"], names["weight"], names["probability"])
