@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import one_chunk, slices
 
 WORDS, MOST_CHARS = 13, 50_000_000
+HITS = "doc_id long, item_id long, start long, end long, words int"
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _built: dict = {}
 
@@ -113,11 +114,11 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = WORDS, most_ch
             if mine[-1:] != [r[0]]:
                 mine.append(r[0])
     out = None
-    for k, shard in enumerate(shards):
+    for k, shard in enumerate(s for s in shards if s):
         sent = spark.sparkContext.broadcast(shard)
-        part = given.mapInArrow(_scanner(sent, f"{id(sent)}-{sent._jbroadcast.id() if sent._jbroadcast else k}"), "doc_id long, item_id long, start long, end long, words int")
+        part = given.mapInArrow(_scanner(sent, f"{id(sent)}-{sent._jbroadcast.id() if sent._jbroadcast else k}"), HITS)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], HITS) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
