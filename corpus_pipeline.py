@@ -14,13 +14,16 @@ from seamark.llm.common import table, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    return op7_quality.classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    judged = op7_quality.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts frequent lines out of the texts; n_chars follows. A document that had text and has none left goes."""
-    out = op8_lines.dedup_lines(docs).filter("dropped_lines = 0 OR trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = op8_lines.dedup_lines(docs)
+    dropped = F.col(out.columns[-1])
+    kept = out.filter((dropped == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.when(dropped == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
