@@ -211,6 +211,16 @@ def boost_rules_for_element(spark: SparkSession, d: str) -> DataFrame:
     return boosts.valid_rules(rules).select("element_id", "site_id", "label", "weight").orderBy(F.desc("weight"), "element_id", "label")
 
 
+@query(sql("SELECT element_id, site_id, array_to_string(list_transform(phrases, lambda p: array_to_string(p, ' ')), ' + ') AS label, weight FROM boosts WHERE element_id NOT IN (SELECT element_id FROM excluded) UNION ALL SELECT element_id, site_id, title AS label, 0.5 AS weight FROM entries JOIN excluded USING (element_id, site_id) WHERE trim(title) <> ''", "boosts", "excluded"))
+def boost_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of the excluded entries are replaced by one with the entry's title."""
+    gone = tables.excluded(spark, d)
+    stored = tables.boosts(spark, d).select("element_id", "site_id", F.transform("phrases", lambda p: F.array_join(p, " ")).alias("terms"), "weight")
+    stored = stored.withColumn("label", F.array_join("terms", " + "))
+    new = tables.entries(spark, d).join(gone, ["element_id", "site_id"]).select("element_id", "site_id", F.array("title", F.lit(" ")).alias("terms"), F.lit(0.5).alias("weight"))
+    return boosts.sync(stored, new, gone).select("element_id", "site_id", "label", "weight")
+
+
 # --- Dictionary and correction ----------------------------------------------------------------------------------------------
 
 _TERMS = "(SELECT term, count(*) AS df FROM (SELECT unnest(regexp_extract_all(lower(title || ' ' || body), '[\\pL\\pN_]+')) AS term FROM chunks) WHERE length(term) >= 3 GROUP BY term)"
@@ -417,6 +427,19 @@ def index_changes(spark: SparkSession, d: str) -> DataFrame:
     return index.changes(e, _index(spark, d)).select("element_id", "site_id", "action")
 
 
+@query(sql(f""", {_INDEX}, live AS (SELECT e.* FROM entries e LEFT JOIN excluded x USING (element_id, site_id) WHERE e.status = 'enabled' AND e.url IS NOT NULL AND x.element_id IS NULL),
+  lines AS (SELECT l.element_id, l.site_id, l.section_id, sha256(l.text) AS h, string_split(l.text, chr(10)) AS c FROM live l WHERE trim(l.text) <> ''),
+  kept AS (SELECT i.* FROM idx i WHERE (element_id, site_id) IN (SELECT (element_id, site_id) FROM live)), old AS (SELECT element_id, site_id, max(content_hash) AS h, count(*) AS n FROM kept GROUP BY ALL),
+  emb AS (SELECT l.* FROM lines l LEFT JOIN old o USING (element_id, site_id) WHERE o.h IS NULL OR o.h <> l.h OR o.n <> len(l.c))
+  SELECT element_id, site_id, chunk, section_id, content_hash, CASE WHEN element_id IN (SELECT element_id FROM lines) THEN {NOW_SQL} ELSE indexed END AS indexed FROM kept WHERE element_id NOT IN (SELECT element_id FROM emb)
+  UNION ALL SELECT element_id, site_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER), section_id, h, {NOW_SQL} FROM emb""", "vectors", "excluded"))
+def index_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The index after one pass over all entries, with an entry's lines as its chunks."""
+    e = tables.entries(spark, d).withColumn("chunks", F.split("text", "\n", -1))
+    stored = _index(spark, d).withColumns({"title": F.lit("old"), "body": F.lit("old")})
+    return index.sync(stored, e, tables.excluded(spark, d), NOW).select("element_id", "site_id", "chunk", "section_id", "content_hash", "indexed")
+
+
 # --- Inspection -------------------------------------------------------------------------------------------------------------
 
 _STATUS = """st AS (SELECT e.element_id, e.site_id, e.title, e.updated, coalesce(s.chunks, 0) AS chunks, s.last_indexed,
@@ -637,6 +660,25 @@ def rag_ordered_sources(spark: SparkSession, d: str) -> DataFrame:
     return rag.sources(rag.parse(_replies(spark)).filter("ok"), tables.entries(spark, d).filter("url IS NOT NULL"), 5)
 
 
+_CONTEXT = f"ctx AS (SELECT string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS sources, max(used) AS tokens FROM (SELECT p.*, b.block FROM {_PACK} p JOIN (SELECT element_id, rank, {_BLOCK} AS block FROM (SELECT k.*, e.url FROM {_keyword(100)} k JOIN entries e USING (element_id) WHERE url IS NOT NULL)) b USING (element_id, rank)))"
+
+
+@query(sql(f", {_CONTEXT} SELECT context, sources, tokens FROM ctx", "chunks"))
+def rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return rag.context(rag.pack(_results(spark, d), 2000))
+
+
+@query(sql(f""", {_CONTEXT} SELECT 'system' AS role, 'Answer from the pages only.' AS content UNION ALL
+  SELECT 'user', '<user_query>' || chr(10) || '{QUERY}' || chr(10) || '</user_query>' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Return JSON: {{"summary": "your answer", "sourceIds": [id1, id2], "confidence": "high|medium|low"}}' FROM ctx""", "chunks"))
+def rag_messages(spark: SparkSession, d: str) -> DataFrame:
+    return rag.messages(_text(spark), rag.context(rag.pack(_results(spark, d), 2000)))
+
+
+@query(sql(f"SELECT element_id, CAST(NULL AS VARCHAR) AS summary, true AS budget_exhausted FROM {_keyword(100)} JOIN entries e USING (element_id) WHERE e.url IS NOT NULL", "chunks"))
+def rag_budget_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return rag.fallback(_results(spark, d))
+
+
 # --- Control ----------------------------------------------------------------------------------------------------------------
 
 

@@ -22,8 +22,8 @@ VIEWS = {
       k + CASE WHEN smart THEN 0 ELSE k * 13 END AS total_tokens,
       CAST(round(k * {_P['text-embedding-3-small'][0]} / 1e6, 6) + CASE WHEN smart THEN 0 ELSE round(round(k * 10 * {_P['gpt-medium'][0]} / 1e6, 6) + round(k * 3 * {_P['gpt-medium'][1]} / 1e6, 6), 6) END AS DECIMAL(10, 6)) AS cost
       FROM (SELECT *, event_type IN ('view', 'click') AS smart, event_type || ' ' || (k % 20) AS w FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))""",
-    "boosts": """SELECT element_id, site_id, [w[1:2]] AS phrases, element_id % 5 * 0.01 AS weight FROM (SELECT *, regexp_extract_all(lower(title), '[\\pL\\pN_]+') AS w FROM entries WHERE element_id < 125) WHERE len(w) >= 3
-      UNION ALL SELECT element_id, site_id, [w[1:1], w[3:3]], 0.02 FROM (SELECT *, regexp_extract_all(lower(title), '[\\pL\\pN_]+') AS w FROM entries WHERE element_id < 125 AND element_id % 10 = 0) WHERE len(w) >= 3""",
+    "boosts": """SELECT element_id, site_id, [w[1:2]] AS phrases, element_id % 5 * 0.01 AS weight FROM (SELECT *, regexp_extract_all(lower(title), '[\\pL\\pN_]+') AS w FROM entries) WHERE len(w) >= 3
+      UNION ALL SELECT element_id, site_id, [w[1:1], w[3:3]], 0.02 FROM (SELECT *, regexp_extract_all(lower(title), '[\\pL\\pN_]+') AS w FROM entries WHERE element_id % 10 = 0) WHERE len(w) >= 3""",
 }
 NEEDS = {"chunks": ["entries"], "vectors": ["entries"], "boosts": ["entries"]}
 NOW_SQL = f"TIMESTAMP '{NOW}'"

@@ -83,10 +83,10 @@ def derive(log: DataFrame) -> DataFrame:
 
 
 def boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of elements below 125: (element_id, site_id, phrases, weight), one by its title's first two lexemes, for every tenth one more of two phrases."""
+    """A rule of each element: (element_id, site_id, phrases, weight), by its title's first two lexemes; every tenth has one more of two phrases."""
     from ..functions.text import lexemes
 
-    e = entries(spark, sf_dir).filter("element_id < 125").select("element_id", "site_id", lexemes(F.col("title")).alias("w")).filter(F.size("w") >= 3)
+    e = entries(spark, sf_dir).select("element_id", "site_id", lexemes(F.col("title")).alias("w")).filter(F.size("w") >= 3)
     one = e.select("element_id", "site_id", F.array(F.slice("w", 1, 2)).alias("phrases"), (F.col("element_id") % 5 * 0.01).alias("weight"))
     two = e.filter("element_id % 10 = 0").select("element_id", "site_id", F.array(F.slice("w", 1, 1), F.slice("w", 3, 1)).alias("phrases"), F.lit(0.02).alias("weight"))
     return one.unionByName(two)
