@@ -50,7 +50,7 @@ def parse(replies: DataFrame) -> DataFrame:
 
 def sources(parsed: DataFrame, results: DataFrame, limit: int) -> DataFrame:
     """(reply_id, element_id, title, url, rank): the results that a reply names, in its order, `limit` at most; unknown ids are skipped."""
-    named = parsed.select("reply_id", F.posexplode("source_ids").alias("pos", "element_id")).join(F.broadcast(results.select("element_id", "title", "url")), "element_id")
+    named = parsed.select("reply_id", F.posexplode("source_ids").alias("pos", "element_id")).join(results.select("element_id", "title", "url"), "element_id")
     w = Window.partitionBy("reply_id").orderBy("pos")
     return named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("reply_id", "element_id", "title", "url", "rank")
 
