@@ -110,3 +110,14 @@ def test_first_block_is_packed_even_over_budget(spark):
     df = spark.createDataFrame(rows, "element_id long, title string, url string, content string, rank int")
     assert [r["element_id"] for r in rag.pack(df, 600).collect()] == [1]
     assert [r["element_id"] for r in rag.pack(df.filter("rank > 1"), 600).orderBy("rank").collect()] == [2, 3, 4]
+
+
+def test_history_sink(spark, small, tmp_path):
+    from seamark.operators import history
+    from seamark.sources import tables
+
+    log = tables.history(spark, small)
+    for _ in range(2):
+        history.append(log, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 2 * log.count() and set(log.columns) <= set(back.columns)
