@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, one_chunk, pair, slices
 
 LEAST, GRAM = 50, 16
-#: A run is closed at so many suffixes, to bound a task's memory.
-RUN = 100_000
+#: A run is made of so many bytes of text (or one longer text), to bound a task's memory.
+RUN_BYTES = 12 << 20
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -79,21 +80,11 @@ def _find_anchors(least: int, gram: int):
     return run
 
 
-def encode_run(run: list[tuple]) -> bytes:
-    """A sorted list of (words, left words, doc_id, pos), front-coded."""
-    before: list[str] = []
-    shared, rest = np.empty(len(run), np.int16), []
-    for k, (words, *_) in enumerate(run):
-        n = prefix(before, words, 0)
-        shared[k] = n
-        rest.append(" ".join(words[n:]))
-        before = words
-    left = "\n".join(x[1] for x in run).encode()
-    tails = "\n".join(rest).encode()
-    ids = np.array([x[2] for x in run], np.int64)
-    pos = np.array([x[3] for x in run], np.int32)
-    head = struct.pack("<III", len(run), len(tails), len(left))
-    return zstandard.compress(head + shared.tobytes() + ids.tobytes() + pos.tobytes() + tails + left, 1)
+def encode_run(shared: np.ndarray, tails: list[str], left: list[str], ids: np.ndarray, pos: np.ndarray) -> bytes:
+    """A sorted run, front-coded: words shared with the suffix before, the other words, the words before the anchor, doc_id, position."""
+    rest, before = ("\n".join(x).encode() for x in (tails, left))
+    head = struct.pack("<III", len(ids), len(rest), len(before))
+    return zstandard.compress(head + shared.astype(np.int16).tobytes() + ids.astype(np.int64).tobytes() + pos.astype(np.int32).tobytes() + rest + before, 1)
 
 
 def decode_run(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
@@ -169,48 +160,58 @@ def merge_runs(runs: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
             node >>= 1
 
 
-def _front_code(least: int, gram: int, parts: int):
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        by: dict[int, list[tuple]] = {}
-        for x in held:
-            by.setdefault(x[4], []).append(x)
-        rows = []
-        for part, run in by.items():
-            run.sort(key=lambda x: x[0])
-            rows.append((part, encode_run([x[:4] for x in run])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "run"])
+def _joined(w: Words, at: np.ndarray, step: int, count: np.ndarray) -> list[str]:
+    """For each k the count[k] words at[k], at[k] + step, ..., joined by blanks."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    index = np.repeat(at, count) + step * (np.arange(ends[-1]) - np.repeat(ends[:-1], count))
+    words = w.vocab.take(pa.array(w.ids[index]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ").to_pylist()
+
+
+def sorted_runs(w: Words, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, least: int, gram: int, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, run) of the suffixes at these places: sorted as arrays of word ranks, cut by part, front-coded."""
+    start, end = w.start[row] + pos, w.start[row + 1]
+    ok = start + gram <= end  # others are places of another row with this doc_id
+    row, pos, start, end = row[ok], pos[ok], start[ok], end[ok]
+    if not len(row):
+        return
+    h = w.hashes[start[:, None] + np.arange(gram)]
+    while h.shape[1] > 1:
+        h = pair(h[:, ::2], h[:, 1::2])
+    part = (h[:, 0] % U64(parts)).astype(np.int64)
+    rank = np.empty(len(w.vocab), np.uint32)
+    rank[pc.sort_indices(w.vocab).to_numpy()] = np.arange(1, len(w.vocab) + 1)
+    length = np.minimum(least, end - start)
+    across = np.arange(least)
+    ranks = np.where(across < length[:, None], rank[w.ids[np.minimum(start[:, None] + across, len(w.ids) - 1)]], 0)
+    key = np.column_stack([part, ranks]).astype(">u4")
+    order = np.argsort(key.view(f"S{key.shape[1] * 4}")[:, 0], kind="stable")
+    row, pos, start, part, length, ranks = (x[order] for x in (row, pos, start, part, length, ranks))
+    apart = ranks[1:] != ranks[:-1]
+    shared = np.concatenate([[0], np.where(apart.any(1), apart.argmax(1), least)])
+    shared[1:] = np.minimum(shared[1:], np.minimum(length[1:], length[:-1]))
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    shared[first] = 0
+    tails = _joined(w, start + shared, 1, length - shared)
+    left = _joined(w, start - 1, -1, np.minimum(pos, least - gram))
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(row)]):
+        yield int(part[s]), encode_run(shared[s:e], tails[s:e], left[s:e], ids[row[s:e]], pos[s:e])
+
 
+def _front_code(least: int, gram: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for b in batches:
             text = one_chunk(b.column(1))
-            ids, places = b.column(0).to_pylist(), b.column(2)
-            for s, e in slices(text):
-                w = Words(text.slice(s, e - s))
-                vocab = w.vocab.to_pylist()
-                for r in range(e - s):
-                    words = [vocab[k] for k in w.ids[w.start[r] : w.start[r + 1]].tolist()]
-                    for p in places[s + r].as_py():
-                        if p + gram > len(words):
-                            continue  # of another row with this doc_id
-                        right = words[p : p + least]
-                        first = hash_gram(w.hashes[w.start[r] + p : w.start[r] + p + gram])
-                        held.append((right, " ".join(words[max(0, p - (least - gram)) : p][::-1]), ids[s + r], p, first % parts))
-                    if len(held) >= RUN:
-                        yield flush(held)
-                        held = []
-        if held:
-            yield flush(held)
+            ids, places = b.column(0).to_numpy(), b.column(2)
+            for s, e in slices(text, RUN_BYTES):
+                mine = places.slice(s, e - s)
+                row = np.repeat(np.arange(e - s), pc.list_value_length(mine).to_numpy(zero_copy_only=False).astype(np.int64))
+                made = list(sorted_runs(Words(text.slice(s, e - s)), row, mine.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ids[s:e], least, gram, parts))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], ["part", "run"])
 
     return run
 
 
-def hash_gram(h: np.ndarray) -> int:
-    while len(h) > 1:
-        h = pair(h[::2], h[1::2])
-    return int(h[0])
-
-
 def repeats(shared: np.ndarray, length: np.ndarray, ids: np.ndarray, pos: np.ndarray, left: list[str], least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, start, end) of the windows of `least` words around sorted anchors that two documents have, neighbours joined."""
     n, most = len(ids), least - gram
