@@ -15,6 +15,7 @@ get equal scores; other columns pass through whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import Words, free_name, one_chunk, slices
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_PARTS = 20_000, 16
 STRIP = ".,;:!?\"'()[]#$%&*|"
 _CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "bar": b"|", "bang": b"!", "symbol": b"#$%&*@^~=+<>{}[]\\/_", "stop": b".,;:?"}
 _CLASS = np.zeros((256, len(_CLASSES) + 1), np.float64)
@@ -190,23 +191,30 @@ class Model(NamedTuple):
 
 def word_list(text: pa.Array, toxic: np.ndarray, least: int = 5, share: float = 0.1, odds: float = 10.0) -> list[str]:
     """Words that this share of toxic texts, and at least `least`, have, and toxic texts `odds` times as often as others."""
-    counts: dict[str, list[int]] = {}
+    bad = toxic == 1
+    na, nb = max(1, int(bad.sum())), max(1, int((~bad).sum()))
+    counts: dict[str, int] = {}
+    for words, n in _text_counts(text.filter(pa.array(bad))):
+        for x, k in zip(words.to_pylist(), n.tolist()):
+            counts[x] = counts.get(x, 0) + k
+    counts = {x: a for x, a in counts.items() if a >= max(least, share * na)}
+    # Only these are counted in the other texts, whose words are many more.
+    wanted = pa.array(counts, pa.string())
+    others = dict.fromkeys(counts, 0)
+    for words, n in _text_counts(text.filter(pa.array(~bad))):
+        hit = pc.is_in(words, value_set=wanted)
+        for x, k in zip(words.filter(hit).to_pylist(), n[hit.to_numpy(zero_copy_only=False)].tolist()):
+            others[x] += k
+    return sorted(x for x, a in counts.items() if (a + 0.5) / na >= odds * (others[x] + 0.5) / nb)
+
+
+def _text_counts(text: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words and the numbers of texts that have them, slice by slice."""
     for s, e in slices(text):
         w = Words(text.slice(s, e - s), lower=True, strip=STRIP)
-        code = np.unique(w.row * max(1, len(w.vocab)) + w.ids)
-        row, word = code // max(1, len(w.vocab)), code % max(1, len(w.vocab))
-        bad = toxic[s:e][row] == 1
-        a, b = (np.bincount(word[k], minlength=len(w.vocab)) for k in (bad, ~bad))
-        for k in np.flatnonzero(a):
-            c = counts.setdefault(w.vocab[int(k)].as_py(), [0, 0])
-            c[0] += int(a[k])
-        for k, x in enumerate(w.vocab.to_pylist()):
-            if x in counts:
-                counts[x][1] += int(b[k])
-            elif b[k]:
-                counts[x] = [0, int(b[k])]
-    na, nb = max(1, int((toxic == 1).sum())), max(1, int((toxic != 1).sum()))
-    return sorted(x for x, (a, b) in counts.items() if a >= max(least, share * na) and (a + 0.5) / na >= odds * (b + 0.5) / nb)
+        if len(w.ids):
+            code = np.unique(w.row * len(w.vocab) + w.ids)
+            yield w.vocab, np.bincount(code % len(w.vocab), minlength=len(w.vocab))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple]:
@@ -214,8 +222,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     clear = labels.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2"), F.min("toxic").alias("toxic"), F.max("toxic").alias("t2"))
     clear = clear.filter("label_id IS NOT NULL AND quality = q2 AND toxic = t2").select("label_id", "quality", "toxic", F.md5(F.col("label_id").cast("string")).alias("m")).orderBy("m", "label_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(clear), F.col("doc_id") == F.col("label_id"))
+    few = rows.select("m", "text", "quality", "toxic").repartition(SAMPLE_PARTS)  # fetched part by part, however many the table has
     by_text = {}  # of copies, the first
-    for r in sorted((r["m"], r["text"] or "", r["quality"], r["toxic"]) for r in rows.select("m", "text", "quality", "toxic").toLocalIterator()):
+    for r in sorted((r["m"], r["text"] or "", r["quality"], r["toxic"]) for r in few.toLocalIterator()):
         by_text.setdefault(r[1], r)
     return list(by_text.values())
 
