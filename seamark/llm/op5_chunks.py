@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, one_chunk, slices, written
 
-LEAST, NORMAL, MOST = 32, 128, 512
-STRICT, LOOSE = 8, 5  # bits that are zero before and after the normal length
-THRESHOLD = 0.6
+LEAST, NORMAL, MOST = 8, 16, 64
+STRICT, LOOSE = 5, 3  # bits that are zero before and after the normal length
+THRESHOLD = 0.4
 _LENGTH_BITS = 10
 GEAR = (mix(np.arange(1, 257)) >> np.uint64(32)).astype(np.uint32)
 
@@ -117,21 +117,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def containment(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, in_id, containment): documents of which at least `threshold` is contained in another; copies point to the smallest id of their set."""
-    prints = written(fingerprints(docs), "chunks")
-    reps = prints.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    copies = prints.select("doc_id", "set_id").join(reps, "set_id").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("in_id"), F.lit(1.0).alias("containment")).distinct()
-    sets = prints.join(reps.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"]).dropDuplicates(["set_id", "doc_id"])
-    each = sets.select("set_id", "doc_id", "total", F.explode("digests").alias("digest"))
+    prints = fingerprints(docs)
+    # The texts are cut twice: that is cheaper than a table of all digests, of which most belong to one document.
+    keys = written(prints.select("doc_id", "set_id", "total"), "chunks")
+    reps = keys.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"))
+    copies = keys.select("doc_id", "set_id").join(reps, "set_id").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("in_id"), F.lit(1.0).alias("containment")).distinct()
+    each = prints.select("set_id", F.explode("digests").alias("digest")).repartition("digest").distinct()
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("digest"))).filter("df > 1")
-    # From the most frequent digest down: what this one and the more frequent ones weigh.
-    rest = F.sum(F.col("digest").bitwiseAND((1 << _LENGTH_BITS) - 1)).over(Window.partitionBy("set_id").orderBy(F.desc("df"), "digest").rowsBetween(Window.unboundedPreceding, 0))
-    shared = written(shared.withColumn("rest", rest).withColumn("probe", F.col("rest") >= F.lit(threshold) * F.col("total")), "shared")
-    probes = shared.filter("probe").select("digest", F.col("set_id").alias("a"), F.col("doc_id").alias("a_id"))
-    found = shared.select("digest", F.col("set_id").alias("b"), F.col("doc_id").alias("b_id"))
-    pairs = probes.join(found, "digest").filter("a <> b AND a_id <> b_id").select("a", "b").distinct()
-    common = shared.groupBy("set_id").agg(F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.collect_list("digest").alias("d"))
+    # A row for each set that shares digests: those from the most frequent down, and from which on they are probed for, as the ones up to it weigh enough.
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("o"), "digest"))), lambda x: x["digest"])
+    size = lambda x: x.bitwiseAND((1 << _LENGTH_BITS) - 1)
+    common = shared.groupBy("set_id").agg(ordered.alias("d")).join(reps.withColumnRenamed("rep", "doc_id"), "set_id")
+    least = F.lit(threshold) * F.col("total")
+    before = F.aggregate("d", F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n")), lambda s, x: F.struct((s["w"] + size(x)).alias("w"), (s["n"] + (s["w"] + size(x) < least).cast("int")).alias("n")))["n"]
+    common = written(common.withColumn("before", before), "shared")
+    probes = common.select(F.col("set_id").alias("a"), F.col("doc_id").alias("a_id"), least.alias("least"), F.explode(F.expr("slice(d, before + 1, size(d))")).alias("digest"))
+    found = common.select(F.col("set_id").alias("b"), F.col("doc_id").alias("b_id"), F.col("total").alias("b_total"), F.explode("d").alias("digest"))
+    pairs = probes.join(found, "digest").filter("a <> b AND a_id <> b_id AND b_total >= least").select("a", "b").distinct()
     left = common.select(F.col("set_id").alias("a"), "doc_id", "total", F.col("d").alias("da"))
     right = common.select(F.col("set_id").alias("b"), F.col("doc_id").alias("in_id"), F.col("d").alias("db"))
-    weight = F.aggregate(F.array_intersect("da", "db"), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND((1 << _LENGTH_BITS) - 1))
+    weight = F.aggregate(F.array_intersect("da", "db"), F.lit(0).cast("long"), lambda s, x: s + size(x))
     scored = pairs.join(left, "a").join(right, "b").select("doc_id", "in_id", weight.alias("w"), "total").filter(F.col("w") >= F.lit(threshold) * F.col("total"))
-    return scored.select("doc_id", "in_id", F.round(F.col("w") / F.col("total"), 6).alias("containment")).unionByName(copies)
+    return scored.select("doc_id", "in_id", F.format_number(F.col("w") / F.col("total"), 6).cast("double").alias("containment")).unionByName(copies)

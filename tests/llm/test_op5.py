@@ -65,3 +65,17 @@ def test_cases(spark):
     assert found == brute.containment(rows, op.THRESHOLD)
     assert (3, 2, 1.0) in found and {(8, 9), (9, 8)} <= {r[:2] for r in found}
     assert got(op.containment(df.limit(0))) == set()
+
+
+def test_recall_of_near_copies_with_scattered_edits(spark):
+    """Against word triples: unequal texts with a Jaccard index of 0.6 or more, one word in 12 to 30 changed."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(2000)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(60, 600))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(rng.choice(vocab) if rng.random() < 1 / rng.randrange(12, 31) else w for w in base))]
+    triples = [set(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)]
+    want = {(i, j) for i in range(len(rows)) for j in range(i) if len(triples[i] & triples[j]) >= 0.6 * len(triples[i] | triples[j]) and rows[i][1] != rows[j][1]}
+    found = {r[:2] for r in got(op.containment(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert len(want) > 30 and sum((i, j) in found or (j, i) in found for i, j in want) >= 0.9 * len(want)
