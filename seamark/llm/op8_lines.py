@@ -1,11 +1,11 @@
 """Line deduplication over the corpus.
 
 Lines are normalised (case, runs of blanks), hashed, and counted by distinct documents. A line that more than
-`max(least_docs, share * documents)` documents have is dropped everywhere; the other lines keep their order and spelling.
+`least_docs` documents have (and more than `share` of them, if that is set) is dropped everywhere; the other lines keep their order and spelling.
 
 Two passes over the texts: the first sends only (hash, document) pairs, unique within a document, to be counted; the second sends
 hashes and positions to the (few) frequent hashes, and joins the positions to drop back to their documents. Documents
-without such a line are never rebuilt. The threshold follows the corpus, so it drops the same lines from twice the data.
+without such a line are never rebuilt. The threshold is one count at every size: a line that goes from a part of the corpus goes from the whole.
 
 Defined results: a null text stays null, an empty one empty; blank lines are neither counted nor dropped; a document whose
 lines all go has the empty text; rows with one doc_id are one document in the counts, and each row is cleaned on its
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, written
 
-SHARE, LEAST_DOCS = 0.005, 20
+SHARE, LEAST_DOCS = 0.0, 10
 
 
 def normal(line: Column) -> Column:

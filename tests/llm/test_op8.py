@@ -34,3 +34,10 @@ def test_threshold_follows_the_corpus(spark):
     check(df, rows, 0.05, 1)
     check(df, rows, 0.1, 1)  # exactly at the threshold: kept
     assert {r["text"].startswith("own") for r in op.dedup_lines(df, 0.05, 1).collect()} == {True}
+
+
+def test_default_threshold_is_the_same_at_every_size(spark):
+    for n in (50, 6000):
+        rows = [(k, f"own {k}" + ("\nmenu of one site" if k < 11 else "\nrare" if k < 21 else "")) for k in range(n)]
+        got = {r["doc_id"]: r["text"] for r in op.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {k: t.replace("\nmenu of one site", "") for k, t in rows}  # 11 documents: dropped; 10: kept
