@@ -303,6 +303,12 @@ def chunk_counts_short(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "documents").filter(short).select("doc_id", F.size(make(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunks"))
 
 
+@query()
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every text; SQL can't express the packing, an independent chunker is the test."""
+    return _chunked(spark, d).select("doc_id", F.size("c").alias("chunks"))
+
+
 @query()
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d).select("doc_id", F.size("c").alias("chunks"), F.posexplode("c").alias("chunk", "body"))
