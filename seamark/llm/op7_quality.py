@@ -15,6 +15,7 @@ get equal scores; other columns pass through whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import Words, free_name, one_chunk, slices
 
-SAMPLE, SAMPLE_PARTS = 20_000, 16
+SAMPLE, SAMPLE_PARTS, FOLDS = 20_000, 16, 5
 STRIP = ".,;:!?\"'()[]#$%&*|"
 _CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "bar": b"|", "bang": b"!", "symbol": b"#$%&*@^~=+<>{}[]\\/_", "stop": b".,;:?"}
 _CLASS = np.zeros((256, len(_CLASSES) + 1), np.float64)
@@ -38,8 +39,8 @@ _CLASS[128:, len(_CLASSES)] = 1
 FEATURES = (*_CLASSES, "wide", "log_bytes", "log_words", "word_length", "word_spread", "same_as_before", "distinct", "top_word", "line_length", "entropy", "listed", "listed_share")
 
 
-def features(text: pa.Array, listed: pa.Array | None = None) -> np.ndarray:
-    """(n, len(FEATURES)); listed: lower-case words that the last two features count."""
+def features(text: pa.Array, listed: pa.Array | None = None, weights: np.ndarray | None = None) -> np.ndarray:
+    """(n, len(FEATURES)); listed: lower-case words that the last two features count, each by its weight."""
     n = len(text)
     out = np.zeros((n, len(FEATURES)), np.float64)
     binary = text.cast(pa.binary())
@@ -69,7 +70,8 @@ def features(text: pa.Array, listed: pa.Array | None = None) -> np.ndarray:
     entropy = -np.sum(p * np.log2(np.maximum(p, 1e-12)), axis=1)
     hits = np.zeros(n)
     if listed is not None and len(listed) and len(w.vocab):
-        hits = total(pc.is_in(w.vocab, value_set=listed).to_numpy(zero_copy_only=False).astype(np.float64)[w.ids])
+        at_word = pc.fill_null(pc.index_in(w.vocab, value_set=listed), len(listed)).to_numpy(zero_copy_only=False)
+        hits = total(np.append(np.ones(len(listed)) if weights is None else weights, 0.0)[at_word][w.ids])
     lines = hist[:, 10] + 1
     cols = (np.log1p(size), np.log1p(count), mean, spread, total(again) / some, np.bincount(row, minlength=n) / np.sqrt(some), top / some, np.log1p(size / lines), entropy, hits, hits / some)
     out[:, at:] = np.stack(cols, axis=1)
@@ -122,11 +124,12 @@ def _leaves(g: np.ndarray, h: np.ndarray, depth: int, least: float, ridge: float
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs: int = 6, pair_rounds: int = 40, rate: float = 0.15, least: float = 2.0) -> Additive:
+def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs: int = 6, pair_rounds: int = 40, rate: float = 0.15, least: float = 2.0, edges: list[np.ndarray] | None = None) -> Additive:
     """Cyclic boosting of shallow trees on the logistic loss; then the best pairs on what is left."""
     n = len(y)
     share = (y.sum() + 1) / (n + 2)
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])] if n else []
+    if edges is None:
+        edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])] if n else []
     model = Additive(edges, float(np.log(share / (1 - share))))
     if n == 0 or y.min() == y.max():
         return model
@@ -178,34 +181,46 @@ class Model(NamedTuple):
     quality: Additive
     toxic: Additive
     listed: list[str]
+    weights: np.ndarray
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         q, t = [np.zeros(0)], [np.zeros(0)]
         listed = pa.array(self.listed, pa.string())
         for s, e in slices(text):
-            x = features(text.slice(s, e - s), listed)
+            x = features(text.slice(s, e - s), listed, self.weights)
             q.append(self.quality.score(x))
-            t.append(self.toxic.score(x))
+            t.append(self.toxic.score(x[:, -2:]))
         return np.concatenate(q), np.concatenate(t)
 
 
-def word_list(text: pa.Array, toxic: np.ndarray, least: int = 5, share: float = 0.1, odds: float = 10.0) -> list[str]:
-    """Words that this share of toxic texts, and at least `least`, have, and toxic texts `odds` times as often as others."""
+def word_list(text: pa.Array, toxic: np.ndarray, rate: float = 0.01, least: int = 2) -> dict[str, float]:
+    """Words that toxic texts have significantly more often than others (G test, false discovery rate as given), with their log ratio of shares."""
     bad = toxic == 1
-    na, nb = max(1, int(bad.sum())), max(1, int((~bad).sum()))
+    na, nb = int(bad.sum()), int((~bad).sum())
     counts: dict[str, int] = {}
     for words, n in _text_counts(text.filter(pa.array(bad))):
         for x, k in zip(words.to_pylist(), n.tolist()):
             counts[x] = counts.get(x, 0) + k
-    counts = {x: a for x, a in counts.items() if a >= max(least, share * na)}
+    words = [x for x, a in counts.items() if a >= least]  # one text alone proves nothing
+    others = dict.fromkeys(words, 0)
+    wanted = pa.array(words, pa.string())
     # Only these are counted in the other texts, whose words are many more.
-    wanted = pa.array(counts, pa.string())
-    others = dict.fromkeys(counts, 0)
-    for words, n in _text_counts(text.filter(pa.array(~bad))):
-        hit = pc.is_in(words, value_set=wanted)
-        for x, k in zip(words.filter(hit).to_pylist(), n[hit.to_numpy(zero_copy_only=False)].tolist()):
+    for found, n in _text_counts(text.filter(pa.array(~bad))):
+        hit = pc.is_in(found, value_set=wanted)
+        for x, k in zip(found.filter(hit).to_pylist(), n[hit.to_numpy(zero_copy_only=False)].tolist()):
             others[x] += k
-    return sorted(x for x, a in counts.items() if (a + 0.5) / na >= odds * (others[x] + 0.5) / nb)
+    if not words or not nb:
+        return {}
+    a, b = np.array([counts[x] for x in words], float), np.array([others[x] for x in words], float)
+    g = np.zeros(len(words))
+    for seen, of in ((a, na), (b, nb), (na - a, na), (nb - b, nb)):
+        whole = (a + b) if seen is a or seen is b else na + nb - a - b
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * (na + nb) / np.maximum(whole * of, 1e-9)), 0)
+    p = np.where(a * nb > b * na, [math.erfc(math.sqrt(max(0.0, x) / 2)) / 2 for x in g], 1.0)
+    order = np.argsort(p, kind="stable")
+    under = np.flatnonzero(p[order] <= rate * np.arange(1, len(p) + 1) / len(p))
+    keep = order[: under[-1] + 1] if len(under) else order[:0]
+    return {words[k]: float(np.log((a[k] + 0.5) / (na + 1)) - np.log((b[k] + 0.5) / (nb + 1))) for k in sorted(keep, key=lambda k: words[k])}
 
 
 def _text_counts(text: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -233,18 +248,25 @@ def train(rows: list[tuple]) -> Model:
     """From rows of labelled_sample()."""
     text = pa.array([r[1] for r in rows], pa.string())
     quality, toxic = (np.array([r[k] for r in rows], np.float64) for k in (2, 3))
-    # The list is learned from one half and the list's features fitted on the other, so that they look as they will on new texts.
-    half = len(rows) // 2
-    listed = word_list(text.slice(0, half), toxic[:half])
-    value_set = pa.array(listed, pa.string())
-    x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(text.slice(s, e - s), value_set) for s, e in slices(text))])
-    plain = x.copy()
-    plain[:, -2:] = 0  # quality doesn't look at the list
     if not len(rows):
-        return Model(Additive([], 0.0), Additive([], 0.0), listed)
-    only = np.zeros_like(x[half:])
-    only[:, -2:] = x[half:, -2:]  # toxicity looks at nothing else: form and language are no sign of it
-    return Model(fit(plain, quality), fit(only, toxic[half:]), listed)
+        return Model(Additive([], 0.0), Additive([], 0.0), [], np.zeros(0))
+    everything = word_list(text, toxic)
+
+    def measured(part: pa.Array, words: dict[str, float]) -> np.ndarray:
+        value_set, weights = pa.array(words, pa.string()), np.array(list(words.values()), np.float64)
+        return np.concatenate([np.zeros((0, len(FEATURES))), *(features(part.slice(s, e - s), value_set, weights) for s, e in slices(part))])
+
+    plain = measured(text, {})  # quality doesn't look at the list
+    # Each fold's list features come from the list of the other folds, so that they look as they will on new texts.
+    fold = np.random.default_rng(0).permutation(len(rows)) % FOLDS
+    only = np.zeros((len(rows), 2))  # toxicity looks at nothing else: form and language are no sign of it
+    for k in range(FOLDS):
+        mine = pa.array(fold == k)
+        only[fold == k] = measured(text.filter(mine), word_list(text.filter(pc.invert(mine)), toxic[fold != k]))[:, -2:]
+    # Few texts have listed words: bins are cut among those, however few, and few may make a leaf.
+    some = only > 0
+    edges = [np.unique(np.quantile(only[some[:, k], k], np.linspace(0, 1, 65)[:-1])) if some[:, k].any() else np.zeros(0) for k in range(2)]
+    return Model(fit(plain, quality), fit(only, toxic, least=0.02, edges=edges), list(everything), np.array(list(everything.values()), np.float64))
 
 
 def scorer(model: Model):

@@ -70,3 +70,21 @@ def test_without_labels_and_without_documents(spark):
     one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r["quality_score"] for r in op.classify(df, one).collect()} == {round(2 / 3, 6)}
     assert op.classify(df.limit(0), one).count() == 0
+
+
+def test_recall_of_toxic_documents_at_a_low_rate():
+    """1 % truly toxic, 4 % noise; each toxic word is in a few of the toxic texts only."""
+    rng = np.random.default_rng(3)
+    plain, nasty = [f"word{k}" for k in range(3000)], [f"nasty{k}" for k in range(20)]
+
+    def texts(n):
+        true = np.arange(n) % 100 == 0
+        out = [" ".join([*rng.choice(plain, 60), *(rng.choice(nasty, 4, replace=False) if t else ())]) for t in true]
+        return out, true
+
+    train, true = texts(4000)
+    labels = true | (rng.random(4000) < 0.04)
+    model = op.train([("", t, 1, int(z)) for t, z in zip(train, labels)])
+    new, true = texts(2000)
+    toxic = model.score(pa.array(new))[1] > 0.5
+    assert toxic[true].mean() >= 0.9 and toxic[~true].mean() <= 0.01
