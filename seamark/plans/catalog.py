@@ -114,7 +114,9 @@ def keyword_title_vs_body_weights(spark: SparkSession, d: str) -> DataFrame:
     return c.select("element_id", "chunk", hits("title").alias("title_hits"), hits("body").alias("body_hits"), "fifths", (F.col("score") >= 0.5).alias("bonus"))
 
 
-_BAD, _GOOD = ["thtiom", "ertion", "antion"], ["thtion"]
+_BAD = ["thtiom", "ertion", "antion"]
+#: The whole corrected expression, `(thtiom | thtion) | ertion | antion`: its score is added by half.
+_GOOD = ["thtiom", "thtion", "ertion", "antion"]
 
 
 @query(sql(f"SELECT element_id, site_id, chunk, round(score, 6) AS score, rank FROM {_keyword(100, 'true', f'CAST({_w(_BAD)} AS DOUBLE) / ({_w(_BAD)} + 5) + 0.5 * {_w(_GOOD)} / ({_w(_GOOD)} + 5)')}", "chunks"))
@@ -134,7 +136,7 @@ def _fused(keep_all: bool = False, sections: str = "true") -> str:
     drop = "true" if keep_all else f"NOT (k.rank IS NULL AND s.similarity < {S.least_semantic})"
     return f""", s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY rank DESC) AS m FROM {_semantic(sections, 100)}) WHERE m = 1),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY rank DESC) AS m FROM {_keyword(100, sections)}) WHERE m = 1),
-    fused AS (SELECT coalesce(s.element_id, k.element_id) AS element_id, s.site_id AS s_site, s.chunk AS s_chunk, k.site_id AS k_site, k.chunk AS k_chunk, s.similarity AS semantic_score, s.rank AS semantic_rank, k.score AS keyword_score, k.rank AS keyword_rank,
+    fused AS (SELECT coalesce(s.element_id, k.element_id) AS element_id, s.site_id AS s_site, s.chunk AS s_chunk, k.site_id AS k_site, k.chunk AS k_chunk, coalesce(s.similarity, 0) AS semantic_score, s.rank AS semantic_rank, coalesce(k.score, 0) AS keyword_score, k.rank AS keyword_rank,
       coalesce({S.semantic_weight} / (60 + s.rank), 0) + coalesce(CAST({S.keyword_weight} AS DOUBLE) / (60 + k.rank), 0) + CASE WHEN k.score >= 0.5 THEN CAST({S.keyword_weight} AS DOUBLE) / 60 ELSE 0 END AS score
       FROM s FULL JOIN k ON s.element_id = k.element_id WHERE {drop})"""
 

@@ -20,7 +20,9 @@ def fuse(semantic: DataFrame, keyword: DataFrame, s: Settings) -> DataFrame:
     a = _last(semantic, F.col("site_id").alias("s_site"), F.col("chunk").alias("s_chunk"), F.col("similarity").alias("semantic_score"), F.col("rank").alias("semantic_rank"))
     b = _last(keyword, F.col("site_id").alias("k_site"), F.col("chunk").alias("k_chunk"), F.col("score").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
     both = a.join(b, "element_id", "full_outer").filter(~(F.col("keyword_rank").isNull() & (F.col("semantic_score") < s.least_semantic)))
-    return both.withColumn("score", scalar.rrf(F.col("semantic_rank"), F.col("keyword_rank"), F.col("keyword_score"), s.semantic_weight, s.keyword_weight, RANK_OFFSET))
+    scored = both.withColumn("score", scalar.rrf(F.col("semantic_rank"), F.col("keyword_rank"), F.col("keyword_score"), s.semantic_weight, s.keyword_weight, RANK_OFFSET))
+    # Where a side found nothing its rank is null, but its score is 0.
+    return scored.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("semantic_score", "keyword_score")})
 
 
 def add_boosts(fused: DataFrame, boosts: DataFrame) -> DataFrame:
@@ -32,8 +34,6 @@ def add_boosts(fused: DataFrame, boosts: DataFrame) -> DataFrame:
     return out.withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).drop("boost")
 
 
-
-
 def order() -> list:
     """Score first; ties as a stable sort would leave them."""
     return [F.desc(F.round("score", 12)), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("keyword_rank"), F.asc("element_id")]
