@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Python works on at most so many bytes of text at once (one longer text is still processed whole).
@@ -79,9 +80,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_schema(df: DataFrame, **columns: str) -> str:
-    """DDL of the named columns."""
-    return ", ".join(f"`{k}` {v}" for k, v in columns.items())
+def whole(column: str) -> Column:
+    """The column as a whole number; what isn't one is null."""
+    return F.col(column).try_cast("long")
 
 
 def slices(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
