@@ -11,9 +11,14 @@ all bits. A trie is cut at a depth at which a subtree holds about `subtree` fing
 budget is one task, in which node pairs advance as arrays. Each task returns a spanning forest of its pairs, so a
 group of thousands of copies yields thousands of edges, not millions.
 
-Defined results: null and empty texts, and texts without words, are equal to nothing and never grouped; rows with a null doc_id are
-not part of the search; rows with one doc_id and several texts are one document, in the group of each of its texts;
-equal texts always fall together; other columns are not read. An empty table gives an empty result.
+What is sent: a fingerprint goes once for each block and each subtree within that block's budget. A subtree holds up to 2^20 fingerprints (32 bytes
+each), so 14 million of them (30 GB of text) make 45 copies, 70 million 78; the number of tasks follows, and none holds more than two subtrees' worth,
+as bits are taken in the order of how evenly they are set.
+
+Defined results: null and empty texts, and texts without words, are equal to nothing and never grouped; near_duplicates() leaves out rows with a null doc_id
+(or one that isn't a whole number), drop_near_duplicates() judges them by their text: such a row goes if its text's group has
+another document, and of such rows of one text one stays (ids of 2^62 and more should not be in use there); rows with one doc_id and several texts
+are one document, in the group of each of its texts; equal texts always fall together; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, forget, mix, one_chunk, pair, slices, written
+from .common import U64, Words, forget, free_name, mix, one_chunk, pair, slices, whole, written
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|#$%&*-_"
-SEARCH_BITS, CONFIRM_BITS, SUBTREE, BLOCKS = 11, 34, 1 << 17, 3
+SEARCH_BITS, CONFIRM_BITS, SUBTREE, BLOCKS = 11, 34, 1 << 20, 3
+#: Subtrees of each trie, as a power of 2, at least: so many tasks there are at any size.
+LEAST_CUT = 2
+#: Word weights are whole numbers, so that sums are exact in any order.
+WEIGHT = 64
 _BITS = np.array([[(i >> (7 - j)) & 1 for j in range(8)] for i in range(256)], np.float32) * 2 - 1
 
 
@@ -47,18 +56,18 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = Words(text, lower=True, strip=PUNCTUATION)
     n = len(text)
     counts = np.diff(w.start)
-    one = np.zeros((n, 64), np.float32)
-    two = np.zeros((n, 128), np.float32)
+    one = np.zeros((n, 64), np.float64)
+    two = np.zeros((n, 128), np.float64)
     signs = _signs(w.vocab_hash) if len(w.vocab_hash) else np.zeros((0, 64), np.float32)
     code = w.row * max(1, len(w.vocab_hash)) + w.ids
     code.sort()
     first = np.flatnonzero(np.diff(code, prepend=-1))
-    tally = np.sqrt(np.diff(first, append=len(code))).astype(np.float32)
+    tally = np.rint(WEIGHT * np.sqrt(np.diff(first, append=len(code)))).astype(np.float32)
     uniq = code[first]
     uid = uniq % max(1, len(w.vocab_hash))
     bounds = np.searchsorted(uniq // max(1, len(w.vocab_hash)), np.arange(n + 1))
     both = pair(w.hashes[:-1], w.hashes[1:]) if len(w.hashes) > 1 else np.zeros(0, U64)
-    step = 1 << 14
+    step = 1 << 12  # sums of so many stay exact in single precision
     for r in range(n):
         for s in range(bounds[r], bounds[r + 1], step):
             e = min(s + step, bounds[r + 1])
@@ -232,7 +241,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = edges.agg(F.count("*"), F.sum("b"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == before:
             return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("keeper_id"))
         before = now
@@ -247,10 +256,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, search_bits: int = SEARCH_BITS, confirm_bits: int = CONFIRM_BITS, subtree: int = SUBTREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, search_bits: int = SEARCH_BITS, confirm_bits: int = CONFIRM_BITS, subtree: int = SUBTREE, least_cut: int = LEAST_CUT) -> DataFrame:
     """(doc_id, keeper_id) for every document that goes; keeper_id is the document of its group that stays."""
-    spark = docs.sparkSession
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    given = docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return _groups(given, search_bits, confirm_bits, subtree, least_cut)
+
+
+def _groups(given: DataFrame, search_bits: int = SEARCH_BITS, confirm_bits: int = CONFIRM_BITS, subtree: int = SUBTREE, least_cut: int = LEAST_CUT) -> DataFrame:
     prints = written(given.mapInArrow(_fingerprint_batches, "doc_id long, f long, g long, h long"), "fingerprints")
     nodes = written(prints.groupBy("f", "g", "h").agg(F.min("doc_id").alias("rep")), "nodes")
     shares = nodes.agg(F.count("*").alias("n"), *(F.sum(F.expr(f"shiftrightunsigned(f, {63 - b}) & 1")).alias(f"b{b}") for b in range(64))).first()
@@ -262,7 +274,7 @@ def near_duplicates(docs: DataFrame, search_bits: int = SEARCH_BITS, confirm_bit
     even = sorted(range(64), key=lambda b: abs(shares[f"b{b}"] / n - 0.5))
     blocks = [even[k::BLOCKS] for k in range(BLOCKS)]
     order = [b + [x for x in even if x not in b] for b in blocks]
-    cut = max(0, min(18, math.ceil(math.log2(n / subtree))))
+    cut = max(least_cut, min(18, math.ceil(math.log2(n / subtree))))
     most = search_bits // BLOCKS
     sent = []
     for k, bits in enumerate(order):
@@ -286,6 +298,13 @@ def near_duplicates(docs: DataFrame, search_bits: int = SEARCH_BITS, confirm_bit
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the documents that near_duplicates() lists. Rows without doc_id or text stay."""
-    gone = near_duplicates(docs, **parameters).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """docs with one document of each group. Rows without text or words stay; rows without doc_id are judged by their text."""
+    key, gone_key = free_name(docs, "seamark_id"), free_name(docs, "seamark_gone")
+    by_text = F.lit(1 << 62) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.withColumn(key, F.coalesce(whole("doc_id"), by_text))
+    given = named.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    gone = _groups(given, **parameters).select(F.col("doc_id").alias(gone_key))
+    has_id, no_text = whole("doc_id").isNotNull(), F.coalesce(F.trim(F.col("text").cast("string")), F.lit("")) == ""
+    kept = named.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    # Rows without an id and of one text: partial aggregation leaves one in each task before any is sent.
+    return kept.filter(has_id | no_text).unionByName(kept.filter(~has_id & ~no_text).dropDuplicates([key])).select(*(f"`{c}`" for c in docs.columns))

@@ -1,11 +1,12 @@
 """Brute-force versions of the corpus operators."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import regex
+import xxhash
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -25,14 +26,33 @@ def components(pairs):
     return {x: find(x) for x in list(up) if find(x) != x}
 
 
+def simhash_plain(text):
+    """(64 bits by words, 128 bits by word pairs), in plain integers; None without words."""
+    from seamark.llm.op2_simhash import PUNCTUATION, WEIGHT
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    words = [w for w in (x.strip(PUNCTUATION) for x in ascii_words(text.lower())) if w]
+    if not words:
+        return None
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    pack = lambda votes: sum(1 << (63 - b) for b in range(64) if sum(n if x >> (63 - b) & 1 else -n for x, n in votes) > 0)
+    one = pack([(x, round(WEIGHT * math.sqrt(n))) for x, n in Counter(h).items()])
+    two = [mix((a * 0x9E3779B97F4A7C15 + b) & full) for a, b in zip(h, h[1:])] or [mix(h[0])]
+    return one, pack([(x, 1) for x in two]) << 64 | pack([(mix(x + 1 & full), 1) for x in two])
+
+
 def near_duplicates(rows, search=11, confirm=34):
     """rows: (doc_id, text)."""
-    from seamark.llm.op2_simhash import fingerprints
-
-    rows = [(i, t) for i, t in rows if i is not None and t is not None]
-    f, n = fingerprints(pa.array([t for _, t in rows], pa.string()))
-    keep = np.flatnonzero(n > 0)
-    f, ids = f[keep], [rows[k][0] for k in keep]
+    made = {t: simhash_plain(t) for t in {t for i, t in rows if i is not None and t is not None}}
+    known = sorted({(i, *made[t]) for i, t in rows if i is not None and t is not None and made[t]})
+    ids = [x[0] for x in known]
+    f = np.array([[x[1], x[2] >> 64, x[2] & (1 << 64) - 1] for x in known], np.uint64).reshape(-1, 3)
     pairs = []
     for a in range(len(ids)):
         far = np.bitwise_count(f[a, 0] ^ f[a + 1 :, 0])
@@ -146,8 +166,11 @@ def mixed(rows, targets):
         named = {v: x for v, x in named.items()}
         goal = {v: named[v] for v in sums if v in named and sums[v]}
         rest = {v: n**targets.temper for v, n in sums.items() if v not in named and n}
+        left = max(0, 1 - sum(named.values()))
+        if rest and left < targets.rest:
+            goal, left = {v: x * (1 - targets.rest) for v, x in goal.items()}, targets.rest
         for v, x in rest.items():
-            goal[v] = max(0, 1 - sum(named.values())) * x / sum(rest.values())
+            goal[v] = left * x / sum(rest.values())
         whole = sum(goal.values())
         goals.append({v: x / whole for v, x in goal.items()})
     w = {c: n / total for c, n in size.items()}
@@ -165,24 +188,49 @@ def mixed(rows, targets):
     for _ in range(300):
         mid = (low + high) / 2
         low, high = (mid, high) if sum(min(size[c], mid * x) for c, x in w.items()) < targets.budget * total else (low, mid)
-    p = {c: min(1, low * x / size[c]) if size[c] else 0 for c, x in w.items()}
+    p = {c: (1 if targets.budget >= 1 and x else min(1, low * x / size[c])) if size[c] else 0 for c, x in w.items()}
     draw = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if tokens(r[1]) and draw(r[0]) < p[cell(r)]], p, goals
 
 
-def containment(rows, threshold):
-    """Set of (doc_id, in_id, containment)."""
-    from seamark.llm.op5_chunks import digests
+def chunks_plain(data):
+    """Chunks of bytes by the rolling gear hash, byte by byte."""
+    from seamark.llm.op5_chunks import GEAR, LEAST, LOOSE, MOST, NORMAL, STRICT
+
+    out, begin, h = [], 0, -int(GEAR[0]) & 0xFFFFFFFF  # as after many zero bytes
+    for k, x in enumerate(data):
+        h = ((h << 1) + int(GEAR[x])) & 0xFFFFFFFF
+        n = k + 1 - begin
+        bits = STRICT if n < NORMAL else LOOSE
+        if n >= LEAST and (n == MOST or h >> (32 - bits) == 0):
+            out.append(data[begin : k + 1])
+            begin = k + 1
+    return [*out, data[begin:]] if begin < len(data) else out
+
 
+def containment(rows, threshold):
+    """Set of (doc_id, class_id, contained_in, contains, copies)."""
     rows = sorted({(i, t) for i, t in rows if i is not None and t})
-    sets = [frozenset(d) for d in digests(pa.array([t for _, t in rows], pa.string()))]
-    least = {}
+    sets = [frozenset(chunks_plain(t.lower().encode())) for _, t in rows]
+    docs = defaultdict(set)
     for (i, _), s in zip(rows, sets):
-        least[s] = min(i, least.get(s, i))
-    weight = lambda s: sum(x & 1023 for x in s)
-    out = {(i, least[s], 1.0) for (i, _), s in zip(rows, sets) if least[s] != i}
-    for a, i in least.items():
-        for b, j in least.items():
-            if a != b and i != j and weight(a & b) >= threshold * weight(a):
-                out.add((i, j, round(weight(a & b) / weight(a), 6)))
-    return out
+        docs[s].add(i)
+    weight = {s: sum(map(len, s)) for s in docs}
+    inside, holds, pairs = Counter(), Counter(), [(i, i) for i, _ in rows]
+    where = defaultdict(set)
+    for s in docs:
+        for c in s:
+            where[c].add(s)
+    for a in docs:
+        for b in set().union(*(where[c] for c in a)) - {a}:
+            if min(docs[a]) != min(docs[b]) and sum(map(len, a & b)) >= threshold * weight[a]:
+                inside[a] += 1
+                holds[b] += 1
+                pairs += [(i, j) for i in docs[a] for j in docs[b]]
+    pairs += [(i, j) for d in docs.values() for i in d for j in d]
+    least = components([p for p in pairs if p[0] != p[1]])
+    out = {}
+    for i, s in {(i, s) for (i, _), s in zip(rows, sets)}:
+        old = out.get(i, (0, 0, 0))
+        out[i] = tuple(x + y for x, y in zip(old, (inside[s], holds[s], len(docs[s]) - 1)))
+    return {(i, least.get(i, i), *x) for i, x in out.items()}

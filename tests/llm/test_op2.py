@@ -12,7 +12,9 @@ def test_whole_table_against_brute_force(spark, documents):
     df, rows = documents
     want = brute.near_duplicates([r[:2] for r in rows])
     assert want and got(op.near_duplicates(df)) == want
-    assert got(op.near_duplicates(df, subtree=20)) == want  # many subtrees
+    for least_cut in (0, 4):
+        assert got(op.near_duplicates(df, subtree=20, least_cut=least_cut)) == want  # many subtrees, fewer and more
+    assert got(op.near_duplicates(df, least_cut=0)) == want
 
 
 def test_trie_join_finds_every_pair():
@@ -32,7 +34,25 @@ def test_cases(spark):
     assert got(op.near_duplicates(df)) == {5: 3, 12: 11, 21: 20}
     kept = op.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["3", "3", "None", "7", "8", "9", "10", "11", "13", "20"])
+    # The row without an id has the text of document 3.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["3", "3", "7", "8", "9", "10", "11", "13", "20"])
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    rows = [(None, "alone here now"), (None, "alone here now"), (None, "some words of a text"), (4, "some words of a text"), (None, ""), (None, ""), (None, None)]
+    kept = op.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted([(None, "alone here now"), (4, "some words of a text"), (None, ""), (None, ""), (None, None)], key=repr)
+
+
+def test_ids_of_64_bits_and_ids_that_are_no_numbers(spark):
+    big = [9_200_000_000_000_000_000 + k for k in range(3)]
+    df = spark.createDataFrame([(i, "one two three") for i in big], "doc_id long, text string")
+    assert got(op.near_duplicates(df)) == {big[1]: big[0], big[2]: big[0]}
+    edges = spark.createDataFrame([(big[0], big[1]), (big[1], big[2])], "a long, b long")
+    assert got(op.components(edges)) == {big[1]: big[0], big[2]: big[0]}
+    named = spark.createDataFrame([("a", "one two three"), ("7", "one two three"), ("9", "one two three")], "doc_id string, text string")
+    assert got(op.near_duplicates(named)) == {9: 7}
+    assert [r["doc_id"] for r in op.drop_near_duplicates(named).collect()] == ["7"]
 
 
 def test_one_document_with_two_texts_joins_their_groups(spark):
