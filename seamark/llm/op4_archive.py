@@ -1,19 +1,23 @@
 """Reader and writer of WARC files packed in ZIP archives.
 
-An archive holds `archive/data.warc.gz` (each record its own gzip member) and `indexes/index.cdxj` (a sorted line a record: key, time, JSON with
-offset and length), both stored, so that a record is a byte range of the archive. The reader finds the end-of-directory record in the last
-64 KB, follows the ZIP64 locator where there is one, reads the central directory, then the index, and deals the records' ranges to
+An archive holds WARC members below `archive/` (gzip members, one a record, or plain records) and indexes below `indexes/` (a line a record: key, time, JSON with
+offset, length and filename; plain or gzip), all stored, so that a record is a byte range of the archive. The reader finds the end-of-directory record in the last
+64 KB, follows the ZIP64 locator where there is one, reads the central directory, then streams the indexes, and deals the records' ranges to
 tasks, each of which reads its own ranges, neighbours at once. Nothing is extracted. The ZIP structures are parsed here, by the public ZIP application note.
 
 Writing is one file a task, under a name of its own attempt, in a folder that all executors share; a task that is repeated leaves an unused file.
+The files are written as write_archives() is called, that is while round_trip() builds its query.
 
-Defined results: null columns come back as null, empty ones as empty; pages of any length; repeated pages are records of their own; an archive
-that can't be read (no ZIP, a compressed member, a damaged index or record) gives one row with `error` set where it is found, and the others are read; an empty folder or table
-gives an empty result; only page_id, url, html are stored, other columns aren't read.
+Defined results: null columns come back as null, empty ones as empty; pages of any length; repeated pages are records of their own. Of any archive, records of type
+response, resource, conversion and revisit are pages, others give no row; page_id is the number of a `urn:page:` record id, null for others; a payload is checked against its digest (sha1,
+md5 or sha256, in hex or base32) where the record has one that applies; text is decoded by the charset given, UTF-8 otherwise, what doesn't decode becomes U+FFFD. What can't be
+read (no ZIP, a compressed member, a damaged directory, index line or record, whatever the exception) gives one row with `error` set where it is found, and everything else is read; failures of the storage
+itself are raised, so that the task is tried again. An empty folder or table gives an empty result; only page_id, url, html are stored, other columns aren't read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import struct
@@ -21,6 +25,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, whole
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Ranges of one archive no further apart than GAP are read at once, up to READ bytes.
@@ -54,7 +59,7 @@ def members(f: BinaryIO, size: int) -> list[Member]:
     """The central directory of the ZIP (or ZIP64) archive that f reads, by seek and read."""
 
     def at(offset: int, n: int) -> bytes:
-        if not 0 <= offset <= size:
+        if not 0 <= offset <= offset + n <= size:
             raise ValueError("an offset lies outside of the archive")
         f.seek(offset)
         return f.read(n)
@@ -108,21 +113,57 @@ def data_offset(f: BinaryIO, m: Member) -> int:
     return m.header + 30 + sum(struct.unpack_from("<HH", local, 26))
 
 
-def ranges(f: BinaryIO, size: int) -> list[tuple[int, int]]:
-    """(offset in the archive, length) of each record, by the index."""
-    by = {m.name: m for m in members(f, size)}
-    if WARC not in by or INDEX not in by:
-        raise ValueError(f"no {WARC} or no {INDEX}")
-    start = data_offset(f, by[WARC])
-    f.seek(data_offset(f, by[INDEX]))
-    out = []
-    for line in f.read(by[INDEX].size).decode().splitlines():
-        entry = json.loads(line[line.index("{") :])
-        offset, length = int(entry["offset"]), int(entry["length"])
-        if offset < 0 or length <= 0 or offset + length > by[WARC].size:
-            raise ValueError("an index line lies outside of its member")
-        out.append((start + offset, length))
-    return out
+def _lines(f: BinaryIO, start: int, size: int, packed: bool) -> Iterator[bytes]:
+    """The lines of a stored member, read piece by piece; packed: it is a sequence of gzip members."""
+    at, rest, z = start, b"", None
+    while at < start + size:
+        f.seek(at)
+        data = f.read(min(READ, start + size - at))
+        if not data:
+            raise ValueError("an index ends early")
+        at += len(data)
+        if packed:
+            plain = []
+            while data:
+                z = z or zlib.decompressobj(31)
+                plain.append(z.decompress(data))
+                data = z.unused_data
+                z = None if z.eof else z
+            data = b"".join(plain)
+        *whole_lines, rest = (rest + data).split(b"\n")
+        yield from whole_lines
+    yield rest
+
+
+def ranges(f: BinaryIO, size: int) -> Iterator[tuple[int | None, int | None, str | None]]:
+    """(offset in the archive, length, error) of each record, by the indexes."""
+    every = members(f, size)
+    warcs = {m.name: m for m in every if m.name.startswith("archive/") and ".warc" in m.name}
+    indexes = [m for m in every if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdxj", ".cdx"))]
+    if not warcs or not indexes:
+        raise ValueError("no WARC file below archive/ or no index below indexes/")
+    starts: dict[str, int] = {}
+    for index in indexes:
+        for line in _lines(f, data_offset(f, index), index.size, index.name.endswith(".gz")):
+            if b"{" not in line:
+                continue  # a blank line, or a header
+            try:
+                entry = json.loads(line[line.index(b"{") :])
+                offset, length, name = int(entry["offset"]), int(entry["length"]), entry.get("filename")
+                if name is None and len(warcs) == 1:
+                    (name,) = warcs
+                member = warcs.get(name) or warcs.get(f"archive/{name}")
+                if member is None:
+                    raise ValueError("an index line names no member")
+                if offset < 0 or length <= 0 or offset + length > member.size:
+                    raise ValueError("an index line lies outside of its member")
+                if member.name not in starts:
+                    starts[member.name] = data_offset(f, member)
+                yield starts[member.name] + offset, length, None
+            except OSError:
+                raise
+            except Exception as e:  # whatever a damaged line does, it costs its own record only
+                yield None, None, str(e) or type(e).__name__
 
 
 def record_of(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -136,24 +177,58 @@ def record_of(page_id: int | None, url: str | None, html: str | None) -> bytes:
     return z.compress(head.encode() + http + b"\r\n\r\n") + z.flush()
 
 
-def page_of(data: bytes) -> tuple[int | None, str | None, str | None]:
-    """The page of a record; the payload's digest is checked."""
-    raw = zlib.decompress(data, 31)
+PAGES = ("response", "resource", "conversion", "revisit")
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _digest_fits(said: str, body: bytes) -> bool:
+    """Also true for digests of other kinds, which can't be checked."""
+    kind, _, value = said.partition(":")
+    if kind.lower() not in ("sha1", "md5", "sha256"):
+        return True
+    made = hashlib.new(kind.lower(), body)
+    return value.lower() == made.hexdigest() or value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
+
+
+def page_of(data: bytes) -> tuple[int | None, str | None, str | None] | None:
+    """The page of a record, None if the record is of another type; the payload's digest is checked."""
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record")
-    fields = {k.strip().lower(): v.strip(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
-    body = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
-    if fields["warc-payload-digest"] != "sha1:" + hashlib.sha1(body).hexdigest():
+    fields = _fields(lines[1:])
+    kind = fields.get("warc-type", "response")
+    if kind not in PAGES:
+        return None
+    length = int(fields["content-length"])
+    if not 0 <= length <= len(rest):
+        raise ValueError("a record ends early")
+    body, http = rest[:length], {}
+    if fields.get("content-type", "").startswith("application/http"):
+        top, _, body = body.partition(b"\r\n\r\n")
+        http = _fields(top.decode("utf-8", "replace").split("\r\n")[1:])
+    coded = http.get("transfer-encoding", "identity") != "identity"  # such digests may be of either form
+    if kind != "revisit" and not coded and not _digest_fits(fields.get("warc-payload-digest", ""), body):
         raise ValueError("a payload doesn't fit its digest")
+    if http.get("content-encoding") in ("gzip", "deflate"):
+        body = zlib.decompress(body, 47)
     none = set(fields.get(_NONE.lower(), "").split(","))
-    url = fields["warc-target-uri"].replace("%0D", "\r").replace("%0A", "\n").replace("%20", " ").replace("%25", "%")
-    return (
-        None if "page_id" in none else int(fields["warc-record-id"][len("<urn:page:") : -1]),
-        None if "url" in none else url,
-        None if "html" in none else body.decode(),
-    )
+    own = _NONE.lower() in fields
+    url = fields.get("warc-target-uri", "").strip("<>") if not own else fields["warc-target-uri"]
+    for k, v in (("%0D", "\r"), ("%0A", "\n"), ("%20", " "), ("%25", "%")) if own else ():
+        url = url.replace(k, v)
+    record = fields.get("warc-record-id", "").strip("<>")
+    number = record[len("urn:page:") :] if record.startswith("urn:page:") else ""
+    charset = http.get("content-type", "").lower().partition("charset=")[2].strip("\"' ;") or "utf-8"
+    try:
+        text = body.decode(charset, "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return int(number) if number else None, None if "url" in none else url, None if "html" in none or kind == "revisit" and not body else text
 
 
 def write_archive(out: BinaryIO, pages: Iterator[tuple], zip64: bool = False) -> int:
@@ -190,24 +265,30 @@ def write_archives(pages: DataFrame, folder: str) -> list[str]:
 
     system, root = filesystem(folder)
     system.create_dir(root, recursive=True)
-    named = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "name string")
+    named = pages.select(whole("page_id").alias("page_id"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "name string")
     return [f"{folder}/{r['name']}" for r in named.collect()]
 
 
+def _located(path: str) -> Iterator[tuple[int | None, int | None, str | None]]:
+    try:
+        system, p = filesystem(path)
+        with system.open_input_file(p) as f:
+            yield from ranges(f, f.size())
+    except FileNotFoundError as e:
+        yield None, None, str(e)
+    except OSError:
+        raise
+    except Exception as e:  # whatever is wrong with an archive, it costs this archive only
+        yield None, None, str(e) or type(e).__name__
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column(0).to_pylist():
-            error = None
-            try:
-                system, p = filesystem(path)
-                with system.open_input_file(p) as f:
-                    found = ranges(f, f.size())
-            except (ValueError, KeyError, OSError, struct.error, StopIteration, UnicodeDecodeError) as e:
-                found, error = [], str(e) or type(e).__name__
-            offsets, lengths = ([x[k] for x in found] for k in (0, 1)) if found else ([None], [None])
-            if found or error:
-                n = len(offsets)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array([error] * n, pa.string())], ["path", "offset", "length", "error"])
+            rows = _located(path)
+            while part := list(islice(rows, 1 << 16)):
+                offsets, lengths, errors = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(errors, pa.string())], ["path", "offset", "length", "error"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +315,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(data)
                 for _, o, m, _ in rows[k:n]:
                     try:
-                        out.append((path, *page_of(data[o - offset : o - offset + m]), None))
-                    except (ValueError, KeyError, zlib.error, UnicodeDecodeError) as e:
+                        page = page_of(data[o - offset : o - offset + m])
+                        if page is not None:
+                            out.append((path, *page, None))
+                    except Exception as e:  # whatever is wrong with a record, it costs this record only
                         out.append((path, None, None, None, str(e) or type(e).__name__))
             else:
                 out.append((path, None, None, None, error))
