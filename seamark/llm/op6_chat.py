@@ -7,9 +7,11 @@ attachment references in the same order, and the number of tokens that placehold
 Messages are formatted on their own, as Arrow batches, and then put together by conversation in (turn, role, text) order on the JVM. Only what a conversation
 holds comes together in one place.
 
-Defined results: null content is an empty message; content that isn't a JSON array of parts is one text part; parts of unknown
-type, not of the expected form, or nested deeper than `most_depth`, are kept as text placeholders `<|unknown|>` and counted as one token; a null role is 'user'; repeated turns are all kept, in a fixed order;
-a null conv_id is a conversation of its own; extra columns aren't read. An empty table gives an empty result.
+Defined results: null content is an empty message; content that isn't a JSON array of parts (or is nested deeper than the JSON parser reads) is one text
+part, whole; parts of unknown type, or not of the expected form, are kept as placeholders `<|unknown|>` and counted as one token, whatever
+the depth, as the visitor keeps its own stack; numbers are clamped (widths and heights from 1, seconds from 0 to `most_seconds`, what is no finite number
+counts as absent); characters that UTF-8 can't hold (lone surrogates) become U+FFFD; a null role is 'user'; repeated turns are all kept, in a fixed order;
+rows with a null conv_id (or one that isn't a whole number) are one conversation; extra columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole
+
 
 @dataclass(frozen=True)
 class Format:
@@ -38,59 +42,73 @@ class Format:
     most_image_tokens: int = 1280
     audio_tokens_per_second: float = 12.5
     bytes_per_token: int = 4
-    most_depth: int = 32
+    #: A longer audio part counts as so long (ten years).
+    most_seconds: float = 315_360_000.0
+
+
+class _End:
+    """On the stack: the document opened last ends here."""
+
+
+def clean(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 @dataclass
 class Visitor:
-    """Flattens parts; one visit_ method for each type."""
+    """Flattens parts; one visit_ method for each type. What is left to visit lies on a stack of its own, so depth has no limit."""
 
     format: Format
     text: list[str] = field(default_factory=list)
     refs: list[str] = field(default_factory=list)
     tokens: int = 0
-    depth: int = 0
+    stack: list = field(default_factory=list)
 
     def visit(self, part) -> None:
-        if isinstance(part, str):
-            self.visit_text({"text": part})
-        elif isinstance(part, (list, dict)) and self.depth > self.format.most_depth:
-            self.visit_unknown(part)
-        elif isinstance(part, list):
-            self.depth += 1
-            for p in part:
-                self.visit(p)
-            self.depth -= 1
-        else:
-            kind = part.get("type") if isinstance(part, dict) else None
-            getattr(self, f"visit_{kind}" if kind in ("text", "image", "audio", "document") else "visit_unknown")(part)
+        self.stack.append(part)
+        while self.stack:
+            part = self.stack.pop()
+            if isinstance(part, str):
+                self.visit_text({"text": part})
+            elif isinstance(part, list):
+                self.stack += reversed(part)
+            elif part is _End:
+                self.leave_document()
+            else:
+                kind = part.get("type") if isinstance(part, dict) else None
+                getattr(self, f"visit_{kind}" if kind in ("text", "image", "audio", "document") else "visit_unknown")(part)
 
     def visit_text(self, part: dict) -> None:
         text = part.get("text")
-        text = text if isinstance(text, str) else ""
+        text = clean(text) if isinstance(text, str) else ""
         # Text never passes for a placeholder.
-        self.text.append(text.replace("<|", "<​|"))
-        self.tokens += math.ceil(len(text.encode("utf-8", "surrogatepass")) / self.format.bytes_per_token)
+        self.text.append(text.replace("<|", "<\u200b|"))
+        self.tokens += math.ceil(len(text.encode()) / self.format.bytes_per_token)
 
     def attach(self, part: dict, kind: str, mark: str, tokens: int) -> None:
         url = part.get("url")
         self.text.append(mark)
-        self.refs.append(f"{kind}:{url if isinstance(url, str) else ''}")
+        self.refs.append(f"{kind}:{clean(url) if isinstance(url, str) else ''}")
         self.tokens += tokens
 
     def visit_image(self, part: dict) -> None:
-        side = self.format.patch * self.format.merge
-        w, h = (max(1, x) if isinstance(x := part.get(k), int) else side for k in ("width", "height"))
-        self.attach(part, "image", self.format.image, min(self.format.most_image_tokens, math.ceil(w / side) * math.ceil(h / side)))
+        side, most = self.format.patch * self.format.merge, self.format.most_image_tokens
+        # Beyond `most` patches a side no longer matters.
+        w, h = (min(max(1, x), side * most) if isinstance(x := part.get(k), int) else side for k in ("width", "height"))
+        self.attach(part, "image", self.format.image, min(most, -(-w // side) * -(-h // side)))
 
     def visit_audio(self, part: dict) -> None:
         s = part.get("seconds")
-        s = s if isinstance(s, (int, float)) and math.isfinite(s) else 0
+        if isinstance(s, float) and not math.isfinite(s) or not isinstance(s, (int, float)):
+            s = 0
+        s = float(min(max(s, 0), self.format.most_seconds))
         self.attach(part, "audio", self.format.audio, max(1, math.ceil(s * self.format.audio_tokens_per_second)))
 
     def visit_document(self, part: dict) -> None:
         self.attach(part, "document", self.format.document[0], 1)
-        self.visit(part.get("parts") or [])
+        self.stack += [_End, part.get("parts") or []]
+
+    def leave_document(self) -> None:
         self.text.append(self.format.document[1])
         self.tokens += 1
 
@@ -124,7 +142,7 @@ def _formatter(form: Format):
 def format_chats(messages: DataFrame, form: Format | None = None) -> DataFrame:
     """(conv_id, messages, text, attachments, tokens) of each conversation; messages has conv_id, turn, role, content."""
     form = form or Format()
-    given = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.col("content").cast("string"))
+    given = messages.select(whole("conv_id").alias("conv_id"), whole("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.col("content").cast("string"))
     flat = given.mapInArrow(_formatter(form), "conv_id long, turn long, role string, text string, refs array<string>, tokens long")
     together = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "refs", "tokens"))).alias("m"))
     said = F.transform("m", lambda x: F.concat(F.lit(form.start), x["role"], F.lit("\n"), x["text"], F.lit(form.end)))

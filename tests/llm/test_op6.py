@@ -1,4 +1,5 @@
 import json
+import math
 
 from helpers import assert_same
 
@@ -29,10 +30,37 @@ def test_malformed_parts():
     assert op.flatten('[{"type":"document","parts":5}]', f)[0] == "<|document|><|unknown|><|/document|>"
 
 
-def test_deep_parts_are_unknown():
-    deep = '[{"type":"document","parts":' * 400 + "[]" + "}]" * 400
-    text = op.flatten(deep, op.Format())[0]
-    assert text.count("<|document|>") == op.Format.most_depth and text.count("<|unknown|>") == 1
+def test_deep_parts_are_kept():
+    f = op.Format()
+    deep = '[{"type":"document","parts":' * 150 + '["core"]' + "}]" * 150
+    text, refs, _ = op.flatten(deep, f)
+    assert text == "<|document|>" * 150 + "core" + "<|/document|>" * 150 and len(refs) == 150
+    v = op.Visitor(f)
+    part = "core"
+    for _ in range(50_000):  # deeper than any parser reads
+        part = {"type": "document", "parts": [part]}
+    v.visit(part)
+    assert "".join(v.text).count("<|document|>") == 50_000 and v.tokens == 100_001
+    while isinstance(part, dict):  # taken apart piece by piece
+        part = part.pop("parts")[0]
+
+
+def test_numbers_and_characters_out_of_range(spark):
+    f, big = op.Format(), "1" + "0" * 400
+    cases = {
+        '[{"type":"audio","seconds":%s}]' % big: ("<|audio|>", ["audio:"], math.ceil(f.most_seconds * f.audio_tokens_per_second)),
+        '[{"type":"audio","seconds":1e300}]': ("<|audio|>", ["audio:"], math.ceil(f.most_seconds * f.audio_tokens_per_second)),
+        '[{"type":"audio","seconds":NaN}]': ("<|audio|>", ["audio:"], 1),
+        '[{"type":"image","width":%s,"height":1}]' % big: ("<|image|>", ["image:"], f.most_image_tokens),
+        '[{"type":"image","width":1e300}]': ("<|image|>", ["image:"], 1),
+        '["a\\ud800b"]': ("a\ufffdb", [], 2),
+        '[{"type":"image","url":"\\udfffx"}]': ("<|image|>", ["image:\ufffdx"], 1),
+        '["\\ud83d\\ude00"]': ("\U0001f600", [], 1),
+    }
+    for content, want in cases.items():
+        assert op.flatten(content, f) == want
+    df = spark.createDataFrame([(k, 1, "user", c) for k, c in enumerate(cases)], "conv_id long, turn long, role string, content string")
+    assert {r["conv_id"]: r["tokens"] for r in op.format_chats(df).collect()} == {k: w[2] for k, w in enumerate(cases.values())}
 
 
 def test_cases(spark):
