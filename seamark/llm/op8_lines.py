@@ -50,8 +50,11 @@ def dedup_lines(docs: DataFrame, share: float = SHARE, least_docs: int = LEAST_D
     drop = at.join(hot, "line_hash").groupBy("k").agg(F.collect_set("pos").alias("drop_at"))
     drop = drop.select(F.col("k").alias(other), F.col("drop_at").alias(cuts))
     joined = keyed.join(drop, F.col(key) == F.col(other), "left")
-    kept = F.expr(f"filter(split(`text`, '\\n', -1), (x, i) -> NOT array_contains(`{cuts}`, i))")
-    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # The positions that stay are a set difference, linear in the lines; the lines are bound once, in an array of one struct.
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cuts))
+    cut = F.transform(F.array(F.struct(lines.alias("x"), stay.alias("at"))), lambda s: F.array_join(F.transform(s["at"], lambda i: F.get(s["x"], i)), "\n"))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.get(cut, F.lit(0)))
     dropped = F.coalesce(F.size(cuts), F.lit(0))
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), dropped.alias(count))
 

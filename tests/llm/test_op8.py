@@ -1,3 +1,5 @@
+import time
+
 import brute
 from helpers import assert_same
 
@@ -41,3 +43,12 @@ def test_default_threshold_is_the_same_at_every_size(spark):
         rows = [(k, f"own {k}" + ("\nmenu of one site" if k < 11 else "\nrare" if k < 21 else "")) for k in range(n)]
         got = {r["doc_id"]: r["text"] for r in op.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {k: t.replace("\nmenu of one site", "") for k, t in rows}  # 11 documents: dropped; 10: kept
+
+
+def test_many_frequent_lines_in_one_text(spark):
+    """The cut is linear: a text of 60,000 frequent lines takes seconds."""
+    shared = "\n".join(f"line {k}" for k in range(60_000))
+    rows = [(k, f"own {k}\n{shared}\nend {k}") for k in range(3)]
+    began = time.time()
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 0.0, 2)
+    assert time.time() - began < 60
