@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seamark.llm import op9_mixing as op
 
@@ -48,5 +49,25 @@ def test_cases(spark):
     assert out.columns == [*df.columns, "_topic", "_tokens", "weight", "_probability"]
     assert ids((r["doc_id"], r["text"]) for r in out.collect()) == ids(kept)
     assert op.mix_sources(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        op.mix_sources(df, op.Targets(most_cells=2))
+    # Raked as a table: the same cells' probabilities, the same rows.
+    assert ids((r["doc_id"], r["text"]) for r in op.mix_sources(df, op.Targets(driver_cells=2)).collect()) == ids(kept)
+
+
+def test_the_two_forms_of_raking_agree(spark):
+    rng = np.random.default_rng(4)
+    cells = [(s, x, t, int(rng.integers(0, 3000))) for s in "abcdefgh" for x in ("en", "de", "xx") for t in ("prose", "legal")]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    for targets in (op.Targets(source={"a": 0.3}, budget=0.1), op.Targets(budget=0.9), op.Targets(budget=1.0), op.Targets(budget=0.0)):
+        want = {c[:3]: c[4:] for c in op.cell_probabilities(cells, targets)}
+        got = {tuple(r[:3]): (r["weight"], r["probability"]) for r in op.rake_table(df, targets).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_nothing_is_dropped_for_being_unnamed(spark):
+    rows = [(k, f"text {k}", ("en", "xx", None)[k % 3], "a") for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert len(op.mix_sources(df, op.Targets(budget=1.0)).collect()) == 150
+    half = {r["lang"] for r in op.mix_sources(df, op.Targets(budget=0.9)).collect()}
+    assert half == {"en", "xx", None}
+    mine = op.mix_sources(df, op.Targets(topic={"odd": 0.5, "even": 0.5}, budget=1.0), topic=F.when(F.col("doc_id") % 2 == 1, "odd").otherwise("even"))
+    assert {r["topic"] for r in mine.collect()} == {"odd", "even"}
