@@ -5,11 +5,12 @@ subdomains), a host or a path prefix is a prefix of keys, that is an interval of
 
 URLs and rules are cut at the same split points (quantiles of a sample of keys), a rule going to every part that its interval meets, and each part is
 sorted on the JVM. One sweep over it pushes rules as they begin, pops those that ended, and gives every URL the rule on top, the most
-specific one. Neither side is broadcast; a host with most of the URLs is cut by path, and one URL repeated many times by page_id.
+specific one. Neither side is broadcast; a host with most of the URLs is cut by path, and one URL repeated many times by page_id. Each part is a task of its own. The split
+points are drawn as the query is built: a count and a sample of a size by the number of parts.
 
 Defined results: a URL that is null, or without `scheme://host`, has a null key and no rule; host names compare without case, user, port, or
 final dot, and fragments don't count; among rules of one key `block` wins, then the smallest rule_id; rules that are null or have an empty prefix are left
-out; repeated URLs each get a row, null page_ids too; other columns aren't read. Without rules every URL is allowed.
+out; repeated URLs each get a row, null page_ids too (an id that isn't a whole number counts as null); other columns aren't read. Without rules every URL is allowed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole
+
 #: (rule_id, action, kind, pattern); kind: domain, host, or prefix (host and path).
 RULES = (
     (1, "block", "domain", "spam-farm.example.org"), (2, "block", "domain", "cheap-pills.example.com"), (3, "allow", "prefix", "www.cheap-pills.example.com/en/4"),
@@ -44,7 +47,7 @@ def rule_keys(rules: DataFrame) -> DataFrame:
     """(rule_id, action, key) from rule_id, action, kind, pattern."""
     host, path = F.regexp_extract("pattern", "^([^/]*)", 1), F.regexp_extract("pattern", "^[^/]*(/.*)?$", 1)
     key = F.when(F.col("kind") == "domain", reversed_host(host)).when(F.col("kind") == "host", F.concat(reversed_host(host), F.lit("/"))).otherwise(F.concat(reversed_host(host), F.when(path == "", F.lit("/")).otherwise(path)))
-    return rules.select(F.col("rule_id").cast("long"), F.col("action").cast("string"), key.alias("key")).filter("rule_id IS NOT NULL AND action IS NOT NULL AND key IS NOT NULL")
+    return rules.select(whole("rule_id").alias("rule_id"), F.col("action").cast("string"), key.alias("key")).filter("rule_id IS NOT NULL AND action IS NOT NULL AND key IS NOT NULL")
 
 
 def _parts_of(splits: list[tuple[str, int]]):
@@ -91,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, parts: int | None = None) ->
     """(page_id, key, verdict, rule_id, rules): the most specific rule of each URL, and how many rules it lies in."""
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    urls = pages.select(F.lit(1).alias("kind"), canonical_key(F.col("url").cast("string")).alias("key"), F.col("page_id").cast("long").alias("id"), F.lit(None).cast("string").alias("action"))
+    urls = pages.select(F.lit(1).alias("kind"), canonical_key(F.col("url").cast("string")).alias("key"), whole("page_id").alias("id"), F.lit(None).cast("string").alias("action"))
     known = urls.filter("key IS NOT NULL")
     # The sample that Spark's own range partitioning would draw: of a size by the number of parts, not of URLs.
     shares = known.agg(F.count("*").alias("n")).first()["n"]
@@ -102,7 +105,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, parts: int | None = None) ->
     cut = known.unionByName(starts).mapInArrow(_parts_of(splits), "part int, kind int, key string, id long, action string")
     # Of rules with one key, the one that wins comes last, on top.
     order = [F.col("part"), F.col("key"), F.col("kind"), F.when(F.col("kind") == 0, F.when(F.col("action") == "block", 1).otherwise(0)), F.when(F.col("kind") == 0, -F.col("id")).otherwise(F.col("id"))]
-    swept = cut.repartition(parts, "part").sortWithinPartitions(*order).mapInArrow(_sweep, "page_id long, key string, verdict string, rule_id long, rules int")
+    swept = cut.repartitionById(parts, "part").sortWithinPartitions(*order).mapInArrow(_sweep, "page_id long, key string, verdict string, rule_id long, rules int")
     none = urls.filter("key IS NULL").select(F.col("id").alias("page_id"), "key", F.lit("allow").alias("verdict"), F.lit(None).cast("long").alias("rule_id"), F.lit(0).alias("rules"))
     return swept.unionByName(none)
 
