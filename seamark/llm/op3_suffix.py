@@ -11,8 +11,13 @@ count (no text is sent for that). The others' suffixes are sorted, each with the
 a window around the anchor is checked. The result is exact: it is that of sorting the suffixes of all words. Suffixes
 whose first gram is equal always meet in one part: parts are dealt by that gram's hash, so no sampling is needed and parts are even.
 
+A part is as much as one task holds in memory: there are as many as shuffle partitions, and more if the measured number of suffixes asks for it (`PLACES` to a part). A gram
+that more than `hot` places have would make one part of any size: its suffixes aren't sorted in one place, but every window of `least` words around its
+anchors is hashed where it lies, and the hashes are counted with partial aggregation, which gives the same windows.
+The anchors are found and counted as the query is built.
+
 Words are split at ASCII blanks and compared as they are. Defined results: null, empty and shorter texts share nothing; passages within one document only don't
-count; rows with a null doc_id are left out; rows with one doc_id are one document, whose passages are given together; overlapping or
+count; rows with a null doc_id, or one that isn't a whole number, are left out; rows with one doc_id are one document, whose passages are given together; overlapping or
 touching passages are one; a text of any length is processed whole; other columns aren't read. An empty table gives an empty result.
 """
 
@@ -28,9 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, one_chunk, pair, slices
+from .common import U64, Words, one_chunk, pair, slices, whole, written
 
 LEAST, GRAM = 50, 16
+#: Suffixes to a part, and places of one gram that are sorted together, at most.
+PLACES, HOT = 150_000, 20_000
 #: A run is made of so many bytes of text (or one longer text), to bound a task's memory.
 RUN_BYTES = 12 << 20
 
@@ -252,17 +259,56 @@ def _merge(least: int, gram: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, parts: int | None = None) -> DataFrame:
+def window_hashes(w: Words, least: int) -> np.ndarray:
+    """The hash of the `least` words from each word on (rows don't matter here), from those of 1, 2, 4, ... words."""
+    n = max(0, len(w.hashes) - least + 1)
+    out, done, level, width = None, 0, w.hashes, 1
+    while width <= least:
+        if least & width:
+            part = level[done : done + n]
+            out = part if out is None else pair(out, part)
+            done += width
+        level, width = pair(level[: max(0, len(level) - width)], level[width:]), width * 2
+    return out
+
+
+def _hash_windows(least: int, gram: int):
+    """(doc_id, s, hash) of the windows around the places, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, ids, places = one_chunk(b.column(1)), b.column(0).to_numpy(), b.column(2)
+            for s, e in slices(text, RUN_BYTES):
+                w = Words(text.slice(s, e - s))
+                mine = places.slice(s, e - s)
+                row = np.repeat(np.arange(e - s), pc.list_value_length(mine).to_numpy(zero_copy_only=False).astype(np.int64))
+                first = (mine.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[:, None] - np.arange(least - gram + 1)).ravel()
+                row = np.repeat(row, least - gram + 1)
+                ok = (first >= 0) & (w.start[row] + first + least <= w.start[row + 1])
+                at, where = np.unique((w.start[row] + first)[ok], return_index=True)
+                row, first, h = row[ok][where], first[ok][where], window_hashes(w, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][row], pa.int64()), pa.array(first, pa.int64()), pa.array(h[at].view(np.int64), pa.int64())], ["doc_id", "s", "hash"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, parts: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, words): maximal stretches of a document's words that other documents have too."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = given.mapInArrow(_find_anchors(least, gram), "doc_id long, pos int, key long")
-    by_key = Window.partitionBy("key")
-    kept = found.withColumn("low", F.min("doc_id").over(by_key)).withColumn("high", F.max("doc_id").over(by_key)).filter("low <> high")
-    places = kept.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    coded = given.join(places, "doc_id").mapInArrow(_front_code(least, gram, parts), "part int, run binary")
-    spans = coded.repartition(parts, "part").groupBy("part").applyInArrow(_merge(least, gram), "doc_id long, s long, e long")
+    given = docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = written(given.mapInArrow(_find_anchors(least, gram), "doc_id long, pos int, key long"), "anchors")
+    counts = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", (F.col("n") > hot).alias("hot"))
+    kept = found.join(counts, "key")
+    places = written(kept.groupBy("doc_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("hot") == h, F.col("pos")))).alias(c) for c, h in (("places", False), ("windows", True)))), "places")
+    sizes = places.agg(F.sum(F.size("places")), F.sum(F.size("windows"))).first()
+    tasks = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-(sizes[0] or 0) // PLACES))
+    coded = given.join(places.filter(F.size("places") > 0).select("doc_id", "places"), "doc_id").mapInArrow(_front_code(least, gram, parts), "part int, run binary")
+    spans = coded.repartition(tasks, "part").groupBy("part").applyInArrow(_merge(least, gram), "doc_id long, s long, e long")
+    if sizes[1]:
+        hashed = given.join(places.filter(F.size("windows") > 0).select("doc_id", "windows"), "doc_id").mapInArrow(_hash_windows(least, gram), "doc_id long, s long, hash long")
+        again = hashed.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("hash")
+        spans = spans.unionByName(hashed.join(again, "hash").select("doc_id", "s", (F.col("s") + least).alias("e")))
     # Join overlapping and touching spans of a document.
     w = Window.partitionBy("doc_id").orderBy("s", "e")
     far = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -59,3 +59,10 @@ def test_merge_is_the_sorted_order():
         want.append((op.prefix(last, w, 0), len(w)))
         last = w
     assert out == want
+
+
+def test_hot_grams_are_checked_by_windows(spark, documents):
+    df, rows = documents
+    want = brute.windows([r[:2] for r in rows if r[0] is not None and r[1]], 50)
+    for hot in (0, 3):  # all grams are hot, or some
+        assert {tuple(r)[:3] for r in op.repeated_passages(df, hot=hot).collect()} == want
