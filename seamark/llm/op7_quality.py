@@ -6,9 +6,10 @@ with the greatest gain on the residuals get two-dimensional tables in the same w
 model is a few small arrays, and scoring one pass over the texts.
 
 Two models are learned, for `quality` and for `toxic`. A document is rejected if it is probably of low quality or probably toxic. Fitting uses a bounded sample of labelled rows:
-`sample` rows at most, those with the smallest md5 of doc_id, the same at every size; everything else covers all rows.
+`sample` rows at most, those with the smallest md5 of doc_id, the same at every size; everything else covers all rows. The sample's texts stay on the executors: features
+and word counts of them reach the driver (200 bytes a row, and the words that two or more toxic texts of the sample have). The models are fitted as the query is built.
 
-Defined results: null and empty texts are scored as texts without words; null doc_ids are scored like others; labels that are null, or differ for one doc_id, are left
+Defined results: null and empty texts are scored as texts without words; null doc_ids (and ids that aren't whole numbers, which have no label) are scored like others; labels that are null, or differ for one doc_id, are left
 out of fitting; without labels of both classes a model gives the smoothed share of its positives, or 0.5 (kept, not toxic) without any; equal rows
 get equal scores; other columns pass through whatever their names.
 """
@@ -23,13 +24,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, free_name, one_chunk, slices
+from .common import Words, free_name, one_chunk, slices, whole, written
 
-SAMPLE, SAMPLE_PARTS, FOLDS = 20_000, 16, 5
+SAMPLE, FOLDS = 20_000, 5
 STRIP = ".,;:!?\"'()[]#$%&*|"
 _CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "bar": b"|", "bang": b"!", "symbol": b"#$%&*@^~=+<>{}[]\\/_", "stop": b".,;:?"}
 _CLASS = np.zeros((256, len(_CLASSES) + 1), np.float64)
@@ -193,82 +195,134 @@ class Model(NamedTuple):
         return np.concatenate(q), np.concatenate(t)
 
 
-def word_list(text: pa.Array, toxic: np.ndarray, rate: float = 0.01, least: int = 2) -> dict[str, float]:
-    """Words that toxic texts have significantly more often than others (G test, false discovery rate as given), with their log ratio of shares."""
-    bad = toxic == 1
-    na, nb = int(bad.sum()), int((~bad).sum())
-    counts: dict[str, int] = {}
-    for words, n in _text_counts(text.filter(pa.array(bad))):
-        for x, k in zip(words.to_pylist(), n.tolist()):
-            counts[x] = counts.get(x, 0) + k
-    words = [x for x, a in counts.items() if a >= least]  # one text alone proves nothing
-    others = dict.fromkeys(words, 0)
-    wanted = pa.array(words, pa.string())
-    # Only these are counted in the other texts, whose words are many more.
-    for found, n in _text_counts(text.filter(pa.array(~bad))):
-        hit = pc.is_in(found, value_set=wanted)
-        for x, k in zip(found.filter(hit).to_pylist(), n[hit.to_numpy(zero_copy_only=False)].tolist()):
-            others[x] += k
-    if not words or not nb:
+def fold_of(text: pa.Array) -> np.ndarray:
+    """Each text's fold, by the text alone."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) % FOLDS for x in text.cast(pa.binary()).to_pylist()), np.int64, len(text))
+
+
+def word_counts(text: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words, and by fold and toxicity the number of texts that have them: (n, 2 * FOLDS)."""
+    words, rows, kinds = [], [], (fold_of(text) * 2 + (toxic == 1)).astype(np.int64)
+    for s, e in slices(text):
+        w = Words(text.slice(s, e - s), lower=True, strip=STRIP)
+        if len(w.ids):
+            code = np.unique(w.row * len(w.vocab) + w.ids)
+            cell = code % len(w.vocab) * (2 * FOLDS) + kinds[s:e][code // len(w.vocab)]
+            counts = np.bincount(cell, minlength=len(w.vocab) * 2 * FOLDS).reshape(-1, 2 * FOLDS)
+            some = np.flatnonzero(counts.any(1))
+            words += w.vocab.take(pa.array(some)).to_pylist()
+            rows.append(counts[some])
+    return words, np.concatenate([np.zeros((0, 2 * FOLDS), np.int64), *rows])
+
+
+def significant(words: list[str], a: np.ndarray, b: np.ndarray, na: float, nb: float, rate: float = 0.01, least: int = 2) -> dict[str, float]:
+    """Words that a of na toxic texts have, significantly more than the b of nb others (G test, false discovery rate as given), with their log ratio of shares."""
+    k = np.flatnonzero(a >= least)  # one text alone proves nothing
+    if not len(k) or not nb:
         return {}
-    a, b = np.array([counts[x] for x in words], float), np.array([others[x] for x in words], float)
+    words, a, b = [words[i] for i in k], a[k].astype(float), b[k].astype(float)
     g = np.zeros(len(words))
-    for seen, of in ((a, na), (b, nb), (na - a, na), (nb - b, nb)):
-        whole = (a + b) if seen is a or seen is b else na + nb - a - b
-        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * (na + nb) / np.maximum(whole * of, 1e-9)), 0)
+    for seen, of, everything in ((a, na, a + b), (b, nb, a + b), (na - a, na, na + nb - a - b), (nb - b, nb, na + nb - a - b)):
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) * (na + nb) / np.maximum(everything * of, 1e-9)), 0)
     p = np.where(a * nb > b * na, [math.erfc(math.sqrt(max(0.0, x) / 2)) / 2 for x in g], 1.0)
-    order = np.argsort(p, kind="stable")
+    order = np.lexsort((words, p))
     under = np.flatnonzero(p[order] <= rate * np.arange(1, len(p) + 1) / len(p))
     keep = order[: under[-1] + 1] if len(under) else order[:0]
     return {words[k]: float(np.log((a[k] + 0.5) / (na + 1)) - np.log((b[k] + 0.5) / (nb + 1))) for k in sorted(keep, key=lambda k: words[k])}
 
 
-def _text_counts(text: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Words and the numbers of texts that have them, slice by slice."""
-    for s, e in slices(text):
-        w = Words(text.slice(s, e - s), lower=True, strip=STRIP)
-        if len(w.ids):
-            code = np.unique(w.row * len(w.vocab) + w.ids)
-            yield w.vocab, np.bincount(code % len(w.vocab), minlength=len(w.vocab))
+def word_lists(words: list[str], counts: np.ndarray, texts: np.ndarray) -> list[dict[str, float]]:
+    """The list of each fold's other folds, and last that of all; texts: numbers of texts by fold and toxicity."""
+    c, n = counts.reshape(-1, FOLDS, 2), texts.reshape(FOLDS, 2)
+    # Each fold's list features come from the list of the other folds, so that they look as they will on new texts.
+    use = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    return [significant(words, c[:, f, 1].sum(1), c[:, f, 0].sum(1), float(n[f, 1].sum()), float(n[f, 0].sum())) for f in use]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple]:
-    """(text, quality, toxic) of at most `sample` labelled rows, those with the smallest md5 of doc_id."""
-    clear = labels.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2"), F.min("toxic").alias("toxic"), F.max("toxic").alias("t2"))
-    clear = clear.filter("label_id IS NOT NULL AND quality = q2 AND toxic = t2").select("label_id", "quality", "toxic", F.md5(F.col("label_id").cast("string")).alias("m")).orderBy("m", "label_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(clear), F.col("doc_id") == F.col("label_id"))
-    few = rows.select("m", "text", "quality", "toxic").repartition(SAMPLE_PARTS)  # fetched part by part, however many the table has
-    by_text = {}  # of copies, the first
-    for r in sorted((r["m"], r["text"] or "", r["quality"], r["toxic"]) for r in few.toLocalIterator()):
-        by_text.setdefault(r[1], r)
-    return list(by_text.values())
+def listed_features(text: pa.Array, lists: list[dict[str, float]]) -> np.ndarray:
+    """(n, 2): the last two features, each text by the list of its fold."""
+    out, fold = np.zeros((len(text), 2)), fold_of(text)
+    for k in np.unique(fold):
+        mine = text.filter(pa.array(fold == k))
+        words, weights = pa.array(lists[k], pa.string()), np.array(list(lists[k].values()), np.float64)
+        out[fold == k] = np.concatenate([features(mine.slice(s, e - s), words, weights)[:, -2:] for s, e in slices(mine)])
+    return out
 
 
-def train(rows: list[tuple]) -> Model:
-    """From rows of labelled_sample()."""
-    text = pa.array([r[1] for r in rows], pa.string())
-    quality, toxic = (np.array([r[k] for r in rows], np.float64) for k in (2, 3))
-    if not len(rows):
-        return Model(Additive([], 0.0), Additive([], 0.0), [], np.zeros(0))
-    everything = word_list(text, toxic)
+def plain_features(text: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(features(text.slice(s, e - s)) for s, e in slices(text))])
 
-    def measured(part: pa.Array, words: dict[str, float]) -> np.ndarray:
-        value_set, weights = pa.array(words, pa.string()), np.array(list(words.values()), np.float64)
-        return np.concatenate([np.zeros((0, len(FEATURES))), *(features(part.slice(s, e - s), value_set, weights) for s, e in slices(part))])
 
-    plain = measured(text, {})  # quality doesn't look at the list
-    # Each fold's list features come from the list of the other folds, so that they look as they will on new texts.
-    fold = np.random.default_rng(0).permutation(len(rows)) % FOLDS
-    only = np.zeros((len(rows), 2))  # toxicity looks at nothing else: form and language are no sign of it
-    for k in range(FOLDS):
-        mine = pa.array(fold == k)
-        only[fold == k] = measured(text.filter(mine), word_list(text.filter(pc.invert(mine)), toxic[fold != k]))[:, -2:]
+def fitted(plain: np.ndarray, only: np.ndarray, quality: np.ndarray, toxic: np.ndarray, everything: dict[str, float]) -> Model:
+    """Quality doesn't look at the list; toxicity looks at nothing else: form and language are no sign of it."""
     # Few texts have listed words: bins are cut among those, however few, and few may make a leaf.
     some = only > 0
     edges = [np.unique(np.quantile(only[some[:, k], k], np.linspace(0, 1, 65)[:-1])) if some[:, k].any() else np.zeros(0) for k in range(2)]
     return Model(fit(plain, quality), fit(only, toxic, least=0.02, edges=edges), list(everything), np.array(list(everything.values()), np.float64))
 
 
+NONE = Model(Additive([], 0.0), Additive([], 0.0), [], np.zeros(0))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(m, text, quality, toxic) of at most `sample` labelled texts, those with the smallest md5 of doc_id; of copies, the first."""
+    clear = labels.groupBy(whole("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("q2"), F.min("toxic").alias("toxic"), F.max("toxic").alias("t2"))
+    clear = clear.filter("label_id IS NOT NULL AND quality = q2 AND toxic = t2").select("label_id", "quality", "toxic", F.md5(F.col("label_id").cast("string")).alias("m")).orderBy("m", "label_id").limit(sample)
+    rows = docs.select(whole("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(clear), F.col("doc_id") == F.col("label_id"))
+    first = rows.groupBy("text").agg(F.min(F.struct("m", "quality", "toxic")).alias("x"))
+    return first.select("x.m", "text", F.col("x.quality").cast("int").alias("quality"), F.col("x.toxic").cast("int").alias("toxic"))
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        text = one_chunk(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(plain_features(text)), pa.list_(pa.float64())), b.column(2), b.column(3), pa.array(fold_of(text))], ["m", "x", "quality", "toxic", "fold"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, counts = word_counts(one_chunk(b.column(1)), b.column(3).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(counts[:, k]) for k in range(2 * FOLDS))], ["word", *(f"c{k}" for k in range(2 * FOLDS))])
+
+
+def _list(lists: list[dict[str, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(listed_features(one_chunk(b.column(1)), lists)), pa.list_(pa.float64()))], ["m", "x"])
+
+    return run
+
+
+def train(sample: DataFrame) -> Model:
+    """From labelled_sample(): the texts are measured where they are."""
+    few = written(sample, "sample")
+    rows = sorted(few.mapInArrow(_measure, "m string, x array<double>, quality int, toxic int, fold long").collect())
+    if not rows:
+        return NONE
+    plain, quality, toxic, fold = (np.array([r[k] for r in rows], np.float64) for k in (1, 2, 3, 4))
+    texts = np.bincount((fold * 2 + (toxic == 1)).astype(np.int64), minlength=2 * FOLDS)
+    names = [f"c{k}" for k in range(2 * FOLDS)]
+    counted = few.mapInArrow(_count, ", ".join(["word string", *(f"{c} long" for c in names)])).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+    found = sorted(counted.filter(F.expr(" + ".join(names[1::2])) >= 2).collect())
+    lists = word_lists([r[0] for r in found], np.array([r[1:] for r in found], np.int64).reshape(-1, 2 * FOLDS), texts)
+    only = np.array([r[1] for r in sorted(few.mapInArrow(_list(lists), "m string, x array<double>").collect())]).reshape(-1, 2)
+    return fitted(plain, only, quality, toxic, lists[-1])
+
+
+def train_local(rows: list[tuple]) -> Model:
+    """The same from rows (m, text, quality, toxic) that lie here."""
+    if not rows:
+        return NONE
+    text = pa.array([r[1] for r in rows], pa.string())
+    quality, toxic = (np.array([r[k] for r in rows], np.float64) for k in (2, 3))
+    words, counts = word_counts(text, toxic)
+    by: dict[str, np.ndarray] = {}
+    for x, c in zip(words, counts):
+        by[x] = by[x] + c if x in by else c
+    lists = word_lists(list(by), np.array(list(by.values()), np.int64).reshape(-1, 2 * FOLDS), np.bincount(fold_of(text) * 2 + (toxic == 1), minlength=2 * FOLDS))
+    return fitted(plain_features(text), listed_features(text, lists), quality, toxic, lists[-1])
+
+
 def scorer(model: Model):
     kind = T.StructType([T.StructField("quality", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
 

@@ -1,3 +1,4 @@
+import math
 from pathlib import Path
 
 import numpy as np
@@ -8,18 +9,63 @@ import pytest
 from seamark.llm import op7_quality as op
 
 
-def test_held_out_accuracy(small):
-    folder = Path(small).parent / "sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_accuracy(small, sf):
+    folder = Path(small).parent / sf
     if not folder.exists():
         pytest.skip("no larger test data")
     docs, labels = (pq.read_table(folder / f"{t}.parquet").to_pandas() for t in ("documents", "labels"))
     text = dict(zip(docs["doc_id"], docs["text"]))
     rows = list({text[i]: ("", text[i], q, t) for i, q, t in zip(labels["doc_id"], labels["quality"], labels["toxic"])}.values())
-    model = op.train(rows[::2])
+    model = op.train_local(rows[::2])
     quality, toxic = model.score(pa.array([r[1] for r in rows[1::2]]))
     y, z = (np.array([r[k] for r in rows[1::2]]) for k in (2, 3))
     assert ((quality >= 0.5) == y).mean() > 0.93
     assert (toxic[z == 0] < 0.5).mean() > 0.97
+    # Some labels are noise: their texts have no word that tells. Of those with one (in the list that all rows give), nearly all are found; 190 rows are few to learn from.
+    words = set(op.train_local(rows).listed)
+    tells = np.array([bool(words & {w.strip(op.STRIP) for w in r[1].lower().split()}) for r in rows[1::2]])
+    assert (z == 1)[tells].sum() > 5 and (toxic[(z == 1) & tells] > 0.5).mean() >= (0.95 if len(rows) > 1000 else 0.8)
+
+
+def fit_plain(x, y, bins, rounds, rate, least, ridge=1.0):
+    """Cyclic boosting of trees of depth 2, row by row in plain Python: the score of each row."""
+    n = len(y)
+    share = (sum(y) + 1) / (n + 2)
+    s = [math.log(share / (1 - share))] * n
+    edges = [sorted(set(np.quantile([r[k] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for k in range(len(x[0]))]
+    b = [[sum(v >= e for e in edges[k]) for k, v in enumerate(r)] for r in x]
+
+    def tree(rows, k, g, h, depth):
+        """{bin: step} of the rows' bins."""
+        gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best = (gs**2 / (hs + ridge) + 1e-9, None)
+        if depth:
+            for cut in range(len(edges[k])):
+                left, right = [i for i in rows if b[i][k] <= cut], [i for i in rows if b[i][k] > cut]
+                lh, rh = sum(h[i] for i in left), sum(h[i] for i in right)
+                if lh >= least and rh >= least:
+                    gain = sum(g[i] for i in left) ** 2 / (lh + ridge) + sum(g[i] for i in right) ** 2 / (rh + ridge)
+                    if gain > best[0] + (1e-12 if best[1] is not None else 0):
+                        best = (gain, (left, right))
+        if best[1] is None:
+            return {i: gs / (hs + ridge) for i in rows}
+        return tree(best[1][0], k, g, h, depth - 1) | tree(best[1][1], k, g, h, depth - 1)
+
+    for _ in range(rounds):
+        for k in range(len(edges)):
+            p = [1 / (1 + math.exp(-v)) for v in s]
+            step = tree(range(n), k, [a - q for a, q in zip(y, p)], [q * (1 - q) for q in p], 2)
+            s = [v + rate * step[i] for i, v in enumerate(s)]
+    return [1 / (1 + math.exp(-v)) for v in s]
+
+
+def test_fit_against_plain_loops():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=90) > 0.4).astype(float)
+    m = op.fit(x, y, bins=8, rounds=6, pairs=0, pair_rounds=0)
+    assert m.score(x) == pytest.approx(fit_plain(x.tolist(), y.tolist(), 8, 6, 0.15, 2.0), abs=1e-9)
 
 
 def test_score_is_the_sum_of_table_entries():
@@ -38,7 +84,9 @@ def test_score_is_the_sum_of_table_entries():
 def test_whole_table_against_the_model(spark, documents, small):
     df, rows = documents
     labels = spark.read.parquet(f"{small}/labels.parquet")
-    q, t = op.train(op.labelled_sample(df, labels)).score(pa.array([r[1] for r in rows]))
+    few = sorted(tuple(r) for r in op.labelled_sample(df, labels).collect())
+    assert few
+    q, t = op.train_local(few).score(pa.array([r[1] for r in rows]))  # fitted here, not where the texts are
     got = {r["doc_id"]: (r["quality_score"], r["toxic_score"], r["keep"]) for r in op.classify(df, labels).collect()}
     for r, a, b in zip(rows, q, t):
         assert got[r[0]] == (round(a, 6), round(b, 6), round(a, 6) >= 0.5 and round(b, 6) <= 0.5)
@@ -46,8 +94,8 @@ def test_whole_table_against_the_model(spark, documents, small):
 
 def test_sample_is_bounded_and_the_same(spark, documents, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
-    a = op.labelled_sample(documents[0], labels, 10)
-    assert 0 < len(a) <= 10 and a == op.labelled_sample(documents[0].repartition(5), labels.repartition(3), 10)
+    a = sorted(op.labelled_sample(documents[0], labels, 10).collect())
+    assert 0 < len(a) <= 10 and a == sorted(op.labelled_sample(documents[0].repartition(5), labels.repartition(3), 10).collect())
 
 
 def test_cases(spark):
@@ -84,7 +132,7 @@ def test_recall_of_toxic_documents_at_a_low_rate():
 
     train, true = texts(4000)
     labels = true | (rng.random(4000) < 0.04)
-    model = op.train([("", t, 1, int(z)) for t, z in zip(train, labels)])
+    model = op.train_local([("", t, 1, int(z)) for t, z in zip(train, labels)])
     new, true = texts(2000)
     toxic = model.score(pa.array(new))[1] > 0.5
     assert toxic[true].mean() >= 0.9 and toxic[~true].mean() <= 0.01
