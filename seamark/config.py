@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, fields
+from urllib.parse import unquote, urlsplit
 
 RANK_OFFSET, OVER_FETCH, LEAST_FETCH, WINDOW_SLACK = 60, 3, 20, 5
 TITLE_FIFTHS, BODY_FIFTHS = 5, 1  # weights 1.0 and 0.2, in fifths
@@ -71,7 +72,60 @@ def language_of(locale: str | None) -> str:
 
 
 #: Error code: HTTP status, message.
-ERRORS = {"invalid_query": (400, "The query is empty or too long."), "invalid_type": (400, "Unknown search type."), "invalid_site": (400, "Unknown site."), "forbidden": (403, "Access denied."), "rate_limited": (429, "Too many requests."), "busy": (429, "Too many answers at once."), "search_failed": (500, "The search failed."), "answer_failed": (502, "The answer could not be made."), "unavailable": (503, "The index is unavailable.")}
+ERRORS = {
+    "invalid_query": (400, "The query is empty or too long."), "invalid_type": (400, "Unknown search type."), "invalid_site": (400, "Unknown site."), "forbidden": (403, "Access denied."), "no_entry": (404, "There is no such entry."), "no_url": (422, "The entry has no URL and can't be indexed."),
+    "rate_limited": (429, "Too many requests."), "busy": (429, "Too many answers at once."), "embedding_limited": (429, "The embedding service is busy."), "search_failed": (500, "The search failed."), "answer_failed": (502, "The answer could not be made."),
+    "no_key": (503, "No key is set for the provider."), "unavailable": (503, "The index is unavailable."), "unknown": (500, "Something went wrong."),
+}
+QUERY_CHARS = 150
+
+
+def section_handles(raw: str | list[str] | tuple[str, ...] | None) -> list[str]:
+    """A list, or handles with commas between: trimmed, empty ones left out. Anything else is no filter."""
+    if isinstance(raw, str):
+        return [x for x in (h.strip() for h in raw.split(",")) if x and x != "0"]
+    return [str(x) for x in raw] if isinstance(raw, (list, tuple)) else []
+
+
+def resolve_site(raw: int | str | None, known: list[int]) -> int | None:
+    """The site to search, None for all. With one site the parameter may be left out; with several it is needed, and 0 means all. ValueError for others."""
+    try:
+        n = int(raw or 0)
+    except (TypeError, ValueError):
+        n = 0
+    if len(known) <= 1:
+        only = known[0] if known else None
+        if n in (0, only):
+            return only
+    elif raw not in (None, "") and (n == 0 or n in known):
+        return n or None
+    raise ValueError("invalid_site")
+
+
+def origin_of(url: str) -> str | None:
+    """scheme://host[:port] in lower case, without a default port; None if there is no host."""
+    parts = urlsplit(url.strip())
+    try:
+        port = parts.port
+    except ValueError:
+        return None
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        return None
+    return f"{parts.scheme}://{parts.hostname}" + (f":{port}" if port and port != {"http": 80, "https": 443}[parts.scheme] else "")
+
+
+def connection_of(uri: str) -> dict[str, str | int | None]:
+    """host, port, database, user, password of a connection URI, percent-decoded; ValueError without host or database."""
+    parts = urlsplit(uri)
+    if parts.scheme not in ("postgres", "postgresql") or not parts.hostname or len(parts.path) < 2:
+        raise ValueError("a connection needs a scheme, a host and a database")
+    plain = lambda x: None if x is None else unquote(x)
+    return {"host": parts.hostname, "port": parts.port or 5432, "database": unquote(parts.path[1:]), "user": plain(parts.username), "password": plain(parts.password)}
+
+
+def known_settings(values: dict, allowed: tuple[str, ...]) -> dict:
+    """The values of the settings that a form may set; others are left out."""
+    return {k: v for k, v in values.items() if k in allowed and k in {f.name for f in fields(Settings)}}
 
 
 @dataclass(frozen=True)
@@ -84,16 +138,15 @@ class Request:
     sections: tuple[str, ...] = ()
 
     @classmethod
-    def of(cls, query: str | None, limit: int | str | None = None, site_id: int | str | None = None, sections: str | list[str] | None = None, sites: int = 1) -> "Request":
+    def of(cls, query: str | None, limit: int | str | None = None, site_id: int | str | None = None, sections: str | list[str] | None = None, sites: list[int] | None = None) -> "Request":
         """Checks and normalises; ValueError with an error code."""
-        query = (query or "").strip()
-        if not query or len(query) > 150:
+        from .functions.text import sanitize_text
+
+        query = sanitize_text(query or "")
+        if not query or len(query) > QUERY_CHARS:
             raise ValueError("invalid_query")
-        if site_id in (None, ""):
-            if sites > 1:
-                raise ValueError("invalid_site")
-            site = None
-        else:
-            site = int(site_id) or None  # 0: all sites
-        names = sections.split(",") if isinstance(sections, str) else sections or []
-        return cls(query, clamp_limit(int(limit or 0)), site, tuple(s for s in (x.strip() for x in names) if s))
+        try:
+            n = int(limit or 0)
+        except (TypeError, ValueError):
+            n = 0
+        return cls(query, clamp_limit(n), resolve_site(site_id, sites or []), tuple(section_handles(sections)))

@@ -43,6 +43,14 @@ def sanitize(text: Column, normalize: bool = True) -> Column:
     return F.trim(x, F.lit(" \t\n\r\v\0"))
 
 
+def sanitize_text(text: str) -> str:
+    """sanitize() of one text that lies on the driver."""
+    x = unicodedata.normalize("NFC", text)
+    for pattern, by in ((r"[\x00-\x08\x0B-\x1F\x7F]", ""), (r"<\|[^|>]*\|>", ""), (r"(^|\n)\s*(```+|~~~+)", r"\1")):
+        x = re.sub(pattern, by, x)
+    return x.strip(" \t\n\r\v\0")
+
+
 def head_bytes(text: Column, n: int) -> Column:
     """The longest start of at most n bytes that ends between characters."""
     raw = F.encode(text, "UTF-8")

@@ -19,6 +19,12 @@ def sync(stored: DataFrame, new: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(keys.select("element_id", "site_id").distinct(), ["element_id", "site_id"], "left_anti").unionByName(valid_rules(new))
 
 
+def delete(stored: DataFrame, element_id: int, site_id: int | None = None) -> DataFrame:
+    """stored without the rules of an element, on one site or on all."""
+    gone = F.col("element_id") == element_id
+    return stored.filter(~(gone if site_id is None else gone & (F.col("site_id") == site_id)))
+
+
 def expanded(query: DataFrame, variants: DataFrame) -> DataFrame:
     """query(query) to (slots): at each position the token's lexeme and its variants, as query terms match them."""
     p = query.select(F.explode(positions(F.col("query"))).alias("p")).select("p.*")

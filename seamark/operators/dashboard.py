@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -23,16 +23,38 @@ def half_windows(series: DataFrame, days: int) -> DataFrame:
     )
 
 
-def burn(series: DataFrame) -> DataFrame:
-    """(burn, days_with_data): the mean cost of the last seven rows, always by 7."""
+def traffic(series: DataFrame) -> DataFrame:
+    """(burn, days_with_data, searches, errors, week) of a daily series in one pass: burn is the mean cost of the last seven rows, always by 7; week their searches."""
     n = series.withColumn("back", F.row_number().over(Window.orderBy(F.desc("day"))))
-    return n.agg(F.round(F.coalesce(F.sum(F.when(F.col("back") <= 7, F.col("cost"))), F.lit(0.0)) / 7.0, 6).alias("burn"), F.count_if(F.col("searches") > 0).alias("days_with_data"))
+    last = F.col("back") <= 7
+    return n.agg(
+        F.round(F.coalesce(F.sum(F.when(last, F.col("cost"))), F.lit(0.0)) / 7.0, 6).alias("burn"), F.count_if(F.col("searches") > 0).alias("days_with_data"),
+        F.sum("searches").alias("searches"), F.sum("errors").alias("errors"), F.sum(F.when(last, F.col("searches"))).alias("week"),
+    )
+
+
+def burn(series: DataFrame) -> DataFrame:
+    return traffic(series).select("burn", "days_with_data")
+
+
+def figures(log: DataFrame, since: Column, day: str) -> DataFrame:
+    """(cache_hit_rate, zero_result_rate, spent) of a log in one pass: the rates since then, the answers' cost on the day."""
+    recent = F.col("created") >= since
+    n = F.count_if(recent)
+    today = (F.col("type") == "aiAnswer") & (F.to_date("created") == F.lit(day).cast("date"))
+    return log.agg(
+        scalar.rate(F.count_if(recent & F.col("cached")), n).alias("cache_hit_rate"), scalar.rate(F.count_if(recent & (F.col("results") == 0)), n).alias("zero_result_rate"),
+        F.round(F.coalesce(F.sum(F.when(today, F.col("cost"))), F.lit(0)).cast("double"), 6).alias("spent"),
+    )
 
 
 def budget(spent: DataFrame, burned: DataFrame, cap: float) -> DataFrame:
     """(spent, ratio, eta_days, shown_eta, state): the eta is shown if below 30 days and seven days have data."""
-    b = spent.crossJoin(F.broadcast(burned)).withColumn("b", scalar.budget(F.col("spent"), cap, F.col("burn")))
-    out = b.select("spent", "b.ratio", "b.eta_days", "days_with_data")
+    return _budgeted(spent.crossJoin(F.broadcast(burned)), cap).select("spent", "ratio", "eta_days", "days_with_data", "shown_eta", "state")
+
+
+def _budgeted(row: DataFrame, cap: float) -> DataFrame:
+    out = row.withColumn("b", scalar.budget(F.col("spent"), cap, F.col("burn"))).select("*", "b.ratio", "b.eta_days").drop("b")
     shown = F.when((F.col("eta_days") < 30) & (F.col("days_with_data") >= 7), F.col("eta_days"))
     return out.withColumn("shown_eta", shown).withColumn("state", F.when(F.col("ratio") >= 0.9, "crit").when(F.col("ratio") >= 0.75, "warn").otherwise("ok"))
 
@@ -58,29 +80,19 @@ def health(stats: DataFrame, budgeted: DataFrame, now: str, has_key: bool, conne
     return fixed.unionByName(sync_health(stats, now)).unionByName(budgeted.select(F.lit("budget").alias("key"), "state"))
 
 
-def advice(budgeted: DataFrame, coverage: DataFrame, cache_rate: DataFrame, zero_rate: DataFrame, series: DataFrame, has_key: bool) -> DataFrame:
-    """(level, about): what needs attention, from one-row frames; each rule is a filter, the list their union."""
-    pick = lambda df, cond, level, about: df.filter(cond).select(F.lit(level).alias("level"), F.lit(about).alias("about"))
-    r = F.col("ratio")
-    days = series.withColumn("back", F.row_number().over(Window.orderBy(F.desc("day"))))
-    traffic = days.agg(F.sum("searches").alias("s"), F.sum("errors").alias("e"), F.sum(F.when(F.col("back") <= 7, F.col("searches"))).alias("week")).crossJoin(F.broadcast(coverage.select("total")))
-    key = series.sparkSession.range(1)
+def advice(numbers: DataFrame, seen: DataFrame, coverage: DataFrame, cap: float, has_key: bool) -> DataFrame:
+    """(level, about): what needs attention, from the one-row frames of figures(), traffic() and coverage_totals(). Each of those is made once; the rules are conditions on one row."""
+    row = _budgeted(numbers.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(coverage.select("stale", "not_indexed", "total"))), cap)
+    ratio, eta, total, some = F.col("ratio"), F.col("eta_days"), F.col("total"), F.col("total") > 0
+    part = lambda c: F.col(c) / F.when(some, total)
     rules = [
-        pick(budgeted, r >= 0.9, "crit", "budget"),
-        pick(budgeted, (r >= 0.75) & (r < 0.9), "warn", "budget"),
-        pick(budgeted, (r < 0.75) & (F.col("eta_days") < 7) & (F.col("eta_days") > 0), "info", "budget-eta"),
-        pick(coverage, (F.col("total") > 0) & (F.col("stale") / F.when(F.col("total") > 0, F.col("total")) > 0.05), "warn", "stale"),
-        pick(coverage, (F.col("total") > 0) & (F.col("not_indexed") / F.when(F.col("total") > 0, F.col("total")) > 0.1), "info", "not-indexed"),
-        pick(cache_rate.crossJoin(F.broadcast(traffic)), (F.col("cache_hit_rate") < 0.15) & (F.col("s") > 50), "info", "cache"),
-        pick(zero_rate, F.col("zero_result_rate") > 0.4, "warn", "zero-results"),
-        pick(traffic, (F.col("total") > 0) & (F.col("week") == 0), "info", "no-traffic"),
-        pick(traffic, (F.col("total") > 0) & (F.col("s") > 100) & (F.col("e") / F.col("s") > 0.1), "crit", "errors"),
-        pick(key, F.lit(not has_key), "crit", "no-key"),
-    ]
-    out = rules[0]
-    for rule in rules[1:]:
-        out = out.unionByName(rule)
-    return out
+        ("crit", "budget", ratio >= 0.9), ("warn", "budget", (ratio >= 0.75) & (ratio < 0.9)), ("info", "budget-eta", (ratio < 0.75) & (eta < 7) & (eta > 0)),
+        ("warn", "stale", some & (part("stale") > 0.05)), ("info", "not-indexed", some & (part("not_indexed") > 0.1)),
+        ("info", "cache", (F.col("cache_hit_rate") < 0.15) & (F.col("searches") > 50)), ("warn", "zero-results", F.col("zero_result_rate") > 0.4),
+        ("info", "no-traffic", some & (F.col("week") == 0)), ("crit", "errors", some & (F.col("searches") > 100) & (F.col("errors") / F.when(F.col("searches") > 0, F.col("searches")) > 0.1)), ("crit", "no-key", F.lit(not has_key)),
+    ]
+    on = F.filter(F.array(*(F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(about).alias("about"))) for level, about, cond in rules)), lambda x: x.isNotNull())
+    return row.select(F.explode(on).alias("x")).select("x.*")
 
 
 def usage(log: DataFrame) -> DataFrame:

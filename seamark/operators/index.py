@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
+from ..session import written
 
 KEY = ["element_id", "site_id"]
 
@@ -54,21 +55,62 @@ def orphans(index: DataFrame, active: DataFrame) -> DataFrame:
     return index.join(active, KEY, "left_anti").groupBy(*KEY).agg(F.count("*").alias("rows"))
 
 
+def decisions(index: DataFrame, entries: DataFrame, excluded: DataFrame) -> DataFrame:
+    """entries and indexed keys with what to do: 'delete' (disabled, excluded, vanished), 'keep' (no text), 'touch' (unchanged), 'embed'. One full outer join of fingerprints."""
+    old = fingerprint(index).select(*KEY, F.col("content_hash").alias("old_hash"), F.col("chunks").alias("old_n"))
+    gone = excluded.select(*KEY).distinct().withColumn("gone", F.lit(True))
+    live = F.coalesce((F.col("status") == "enabled") & (F.col("url") != "") & F.col("gone").isNull(), F.lit(False))
+    now = entries.join(gone, KEY, "left").withColumn("live", live).withColumn("content_hash", F.when(F.col("live"), F.sha2("text", 256)))
+    same = F.coalesce((F.col("content_hash") == F.col("old_hash")) & (F.size("chunks") == F.col("old_n")), F.lit(False))
+    action = F.when(~F.coalesce("live", F.lit(False)), "delete").when(F.coalesce(F.trim("text"), F.lit("")) == "", "keep").when(same, "touch").otherwise("embed")
+    both = now.join(old, KEY, "full_outer").withColumn("action", action)
+    return both.select(*KEY, "action", "section_id", "title", "content_hash", F.when(F.col("action") == "embed", F.col("chunks")).alias("chunks"))
+
+
 def sync(index: DataFrame, entries: DataFrame, excluded: DataFrame, now: str) -> DataFrame:
     """The index after all entries were synced; entries have (element_id, site_id, section_id, title, url, status, text, chunks).
 
     Disabled, excluded and vanished entries go; entries without text keep what they have; unchanged ones are touched; the others' chunks
-    replace the stored ones. One pass: everything is keyed by entry, so the joins share their partitioning.
+    replace the stored ones. The decisions are written once, so entries are read once and the index twice: for fingerprints and for what stays.
     """
-    live = eligible(entries).join(excluded, KEY, "left_anti")
-    kept = index.join(live.select(*KEY), KEY, "left_semi")
-    todo = changes(live.filter("text IS NOT NULL AND trim(text) <> ''"), kept)
+    todo = written(decisions(index, entries, excluded), "decisions")
     embed = todo.filter("action = 'embed'")
     rows = embed.select(*KEY, "section_id", "title", "content_hash", F.size("chunks").alias("total"), F.posexplode("chunks").alias("chunk", "body"), F.to_timestamp(F.lit(now)).alias("indexed"))
-    same = touch(kept.join(embed.select(*KEY), KEY, "left_anti"), todo.filter("action = 'touch'").select(*KEY, F.col("section_id").alias("new_section")), now)
+    stay = todo.filter("action IN ('keep', 'touch')").select(*KEY, (F.col("action") == "touch").alias("hit"), F.col("section_id").alias("new_section"))
+    same = index.join(stay, KEY).withColumn("indexed", F.when(F.col("hit"), F.to_timestamp(F.lit(now))).otherwise(F.col("indexed"))).withColumn("section_id", F.when(F.col("hit"), F.col("new_section")).otherwise(F.col("section_id")))
     return same.select(*rows.columns).unionByName(rows)
 
 
+def lookup(index: DataFrame, element_id: int, site_id: int) -> DataFrame:
+    """The chunks of one entry, in order; both filters reach the scan."""
+    return index.filter((F.col("element_id") == element_id) & (F.col("site_id") == site_id)).orderBy("chunk")
+
+
+def delete_all(index: DataFrame) -> DataFrame:
+    """Nothing, in the same columns."""
+    return index.limit(0)
+
+
+def exclude(excluded: DataFrame, keys: DataFrame) -> DataFrame:
+    """excluded with keys added, each once."""
+    return excluded.select(*KEY).unionByName(keys.select(*KEY)).distinct()
+
+
+def include(excluded: DataFrame, keys: DataFrame) -> DataFrame:
+    return excluded.join(keys.select(*KEY), KEY, "left_anti")
+
+
+def are_excluded(keys: DataFrame, excluded: DataFrame) -> DataFrame:
+    """keys with `excluded`."""
+    x = excluded.select(*KEY).distinct().withColumn("excluded", F.lit(True))
+    return keys.join(x, KEY, "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+
+
+def exists(rows: DataFrame, name: str = "found") -> DataFrame:
+    """Whether there is a row; one is read."""
+    return rows.limit(1).agg((F.count("*") > 0).alias(name))
+
+
 def stats(index: DataFrame, by_site: bool = False) -> DataFrame:
     aggs = [F.count_distinct("element_id").alias("elements"), F.count("*").alias("chunks"), F.max("indexed").alias("last_indexed")]
     return index.groupBy("site_id").agg(*aggs) if by_site else index.agg(*aggs)
@@ -121,3 +163,10 @@ def inspection(chunks: DataFrame) -> DataFrame:
     """(element_id, site_id, chunks, tokens, largest): token estimates of an entry's chunks."""
     n = text.tokens(F.coalesce("body", F.lit("")))
     return chunks.groupBy(*KEY).agg(F.count("*").alias("chunks"), F.sum(n).alias("tokens"), F.max(n).alias("largest"))
+
+
+def chunk_bars(chunks: DataFrame) -> DataFrame:
+    """(element_id, site_id, chunk, tokens, bar): each chunk's tokens, and in percent of the entry's largest."""
+    n = chunks.select(*KEY, "chunk", text.tokens(F.coalesce("body", F.lit(""))).alias("tokens"))
+    most = F.max("tokens").over(Window.partitionBy(*KEY))
+    return n.withColumn("bar", F.when(most > 0, F.round(F.col("tokens") / most * 100).cast("int")).otherwise(0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BODY_FIFTHS, LEAST_SIMILARITY, LEAST_TOKEN, TITLE_FIFTHS, TRIGRAM_GATE
+from ..config import BODY_FIFTHS, LEAST_SIMILARITY, LEAST_TOKEN, MOST_VARIANTS, TITLE_FIFTHS, TRIGRAM_GATE
 from ..functions import scalar, text
 
+_JUNK, _WORD = regex.compile(r"[^\p{L}\p{N}_]+"), regex.compile(r"[\p{L}\p{N}_]+")
+
 
 def fifths(title: Column, body: Column, wanted: list[str]) -> Column:
     """The weight of the occurrences of wanted lexemes, in fifths: 5 in a title, 1 in a body."""
@@ -46,6 +49,47 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("element_id", "site_id", "chunk", F.explode(F.concat(words("title", "A"), words("body", "B"))).alias("p")).select("element_id", "site_id", "chunk", "p.*")
 
 
+def counted_postings(chunks: DataFrame) -> DataFrame:
+    """(lexeme, element_id, site_id, section_id, chunk, fifths, occurrences): a row for each lexeme of a chunk, counted in the row itself, without a shuffle."""
+    title, body = (text.lexemes(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
+    words = F.concat(F.transform(title, lambda x: F.struct(x.alias("l"), F.lit(TITLE_FIFTHS).alias("w"))), F.transform(body, lambda x: F.struct(x.alias("l"), F.lit(BODY_FIFTHS).alias("w"))))
+    each = chunks.select("element_id", "site_id", "section_id", "chunk", F.explode(words).alias("p"))
+    # Chunks are keyed, and a chunk's rows lie side by side: partial aggregation leaves what is sent.
+    return each.groupBy(F.col("p.l").alias("lexeme"), "element_id", "site_id", "section_id", "chunk").agg(F.sum("p.w").cast("int").alias("fifths"), F.count("*").alias("occurrences"))
+
+
+def posting_scores(postings: DataFrame, wanted: list[str], corrected: list[str] | None = None, site_id: int | None = None, sections: list[int] | None = None) -> DataFrame:
+    """(element_id, site_id, section_id, chunk, fifths, score) of the chunks that hit, from postings of the terms: w / (1 + w), and half of the same for the corrected expression."""
+    if site_id is not None:
+        postings = postings.filter(F.col("site_id") == site_id)
+    if sections is not None:
+        postings = postings.filter(F.col("section_id").isin(sections))
+    part = lambda terms: F.coalesce(F.sum(F.when(F.col("lexeme").isin(terms), F.col("fifths"))), F.lit(0)) if terms else F.lit(0)
+    hit = postings.groupBy("element_id", "site_id", "section_id", "chunk").agg(part(wanted).alias("fifths"), part(corrected or []).alias("more"))
+    saturate = lambda w: w / (w + 5)
+    return hit.withColumn("score", saturate(F.col("fifths")) + 0.5 * saturate(F.col("more"))).filter("score > 0").drop("more")
+
+
+def close_terms(lexemes: list[str], terms: DataFrame, grams: DataFrame, edit_limit: bool = True) -> DataFrame:
+    """(raw, lexeme, term, sim, df): variants() for a query's lexemes, given the stored rows of those terms and of their trigrams.
+
+    The query's side is literals. Length and edit distance are tested on each row as it is read, so only close terms are grouped.
+    """
+    spark = terms.sparkSession
+    lex = spark.createDataFrame([(x, x) for x in dict.fromkeys(lexemes)], "raw string, lexeme string")
+    exact = F.broadcast(lex).join(terms, F.col("term") == F.col("lexeme")).select("raw", "lexeme", "term", F.lit(1.0).alias("sim"), "df")
+    unknown = lex.filter(F.length("lexeme") >= LEAST_TOKEN).join(exact.select("raw"), "raw", "left_anti")
+    left = unknown.select("raw", "lexeme", F.explode(F.array_distinct(scalar.trigrams(F.col("lexeme")))).alias("gram"))
+    pairs = grams.join(F.broadcast(left), "gram")
+    if edit_limit:
+        cap = scalar.edit_cap(F.col("lexeme"))
+        pairs = pairs.filter((F.abs(F.length("term") - F.length("lexeme")) <= cap) & (F.levenshtein("term", "lexeme") <= cap))
+    pairs = pairs.select("raw", "lexeme", "term", "df").distinct()
+    close = pairs.filter(scalar.similarity(F.col("lexeme"), F.col("term")) >= TRIGRAM_GATE).withColumn("sim", scalar.word_similarity(F.col("lexeme"), F.col("term"))).filter(F.col("sim") >= LEAST_SIMILARITY)
+    both = exact.unionByName(close.select("raw", "lexeme", "term", "sim", "df"))
+    return both.withColumn("n", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("sim"), F.desc("df"), "term"))).filter(F.col("n") <= MOST_VARIANTS).drop("n")
+
+
 def dictionary(chunks: DataFrame, least: int = 3) -> DataFrame:
     """(term, df): occurrences of every lexeme of at least `least` characters. One shuffle, after partial counts."""
     words = F.concat(text.lexemes(F.coalesce("title", F.lit(""))), text.lexemes(F.coalesce("body", F.lit(""))))
@@ -79,10 +123,28 @@ def variants(tokens: DataFrame, terms: DataFrame, edit_limit: bool = True) -> Da
     return both.withColumn("n", F.row_number().over(w)).filter("n <= 1").drop("n")
 
 
-def rewrite(query: str, found: list[tuple[str, str]], enabled: bool = True) -> str | None:
-    """The corrected search expression of a query, given (raw, term); None if nothing was corrected or the query has operators."""
-    best = {r: t for r, t in found}
-    if not enabled or '"' in query or "-" in query or all(best.get(r, r) == r for r in best):
+def clean_tokens(query: str) -> list[str]:
+    """Distinct clean lexemes of at least two characters, in order."""
+    return [x for x in dict.fromkeys(_JUNK.sub("", w) for w in query.lower().split()) if len(x) >= 2]
+
+
+def search_lexemes(query: str) -> list[str]:
+    """What a plain search looks for: the lexemes of every token. Tokens are joined by OR before any operator is read, so a negated
+    token adds no score, and neither does the word `or`."""
+    return list(dict.fromkeys(x for w in query.lower().split() if not w.startswith("-") and w != "or" for x in _WORD.findall(w)))
+
+
+def corrected_lexemes(query: str, found: dict[str, str], enabled: bool = True) -> list[str]:
+    """All lexemes of the corrected expression, given each token's best term; none if nothing was corrected, or the query has quotes or operators."""
+    if not enabled or '"' in query or "-" in query:
+        return []
+    tokens = clean_tokens(query)
+    more = [found[t] for t in tokens if found.get(t, t) != t]
+    return list(dict.fromkeys([*tokens, *more])) if more else []
+
+
+def rewrite(query: str, found: dict[str, str], enabled: bool = True) -> str | None:
+    """The corrected expression as text; None if there is none."""
+    if not corrected_lexemes(query, found, enabled):
         return None
-    tokens = list(dict.fromkeys(query.lower().split()))
-    return " | ".join(f"({t} | {best[t]})" if best.get(t, t) != t else t for t in tokens)
+    return " | ".join(f"({t} | {found[t]})" if found.get(t, t) != t else t for t in clean_tokens(query))

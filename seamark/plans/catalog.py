@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store
+from ..api import Engine, insights
 from ..config import Settings
 from ..functions import scalar, text
-from ..operators import boosts, dashboard, history, index, lexical, rag, semantic
+from ..operators import boosts, dashboard, extract, history, index, lexical, rag, semantic
 from ..sources import tables
 from ..sources.tables import NOW
 from ..streaming import limits
@@ -19,18 +21,24 @@ from .prelude import NOW_SQL, sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+_LATER: dict[str, Callable[[], str]] = {}
 S = Settings()
 WORDS = ["thtion", "ertion", "antion"]
 TYPOS = ["thtiom", "erttion", "antiom", "thtion", "zzzzqq"]
 QUERY = "Thtion ertion, the AND attion antion"
 CAP = 3.0
+#: The day whose budget is looked at: the one before NOW, which is a midnight.
+LAST_DAY = "2024-01-30"
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | Callable[[], str] | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLE[f.__name__] = oracle
+            if isinstance(oracle, str):
+                ORACLE[f.__name__] = oracle
+            else:
+                _LATER[f.__name__] = oracle  # it needs what stands further down
         return f
 
     return add
@@ -44,6 +52,16 @@ def _text(spark: SparkSession, value: str = QUERY) -> DataFrame:
     return spark.createDataFrame([(value,)], "query string")
 
 
+def _ix(spark: SparkSession, d: str) -> store.SearchIndex:
+    """The stored index of the chunks of d, built by the first query that needs it."""
+    return store.once(tables.chunks(spark, d), d)
+
+
+def _scores(spark: SparkSession, d: str, wanted: list[str], corrected: list[str] | None = None, site_id: int | None = None, sections: list[int] | None = None) -> DataFrame:
+    hit = store.matching(_ix(spark, d).postings, "lexeme", list(dict.fromkeys([*wanted, *(corrected or [])])))
+    return lexical.posting_scores(hit, wanted, corrected, site_id, sections)
+
+
 # --- Semantic ---------------------------------------------------------------------------------------------------------------
 
 _COS = "list_cosine_similarity(CAST(vector AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
@@ -99,12 +117,12 @@ def _keyword(limit: int, where: str = "true", score: str | None = None) -> str:
 
 @query(sql(f"SELECT element_id, site_id, chunk, round(score, 6) AS score, rank FROM {_keyword(100)}", "chunks"))
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.best_chunks(lexical.chunk_scores(tables.chunks(spark, d), WORDS), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
+    return lexical.best_chunks(_scores(spark, d, WORDS), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql(f"SELECT element_id, site_id, chunk, round(score, 6) AS score, rank FROM {_keyword(100, 'site_id = 1 AND section_id IN (0, 2, 4)')}", "chunks"))
 def keyword_scores_site_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.best_chunks(lexical.chunk_scores(tables.chunks(spark, d), WORDS, site_id=1, sections=[0, 2, 4]), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
+    return lexical.best_chunks(_scores(spark, d, WORDS, site_id=1, sections=[0, 2, 4]), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql(f"SELECT element_id, chunk, {_hits('title', WORDS)} AS title_hits, {_hits('body', WORDS)} AS body_hits, {_w(WORDS)} AS fifths, {_w(WORDS)} >= 5 AS bonus FROM chunks WHERE {_w(WORDS)} > 0", "chunks"))
@@ -121,7 +139,7 @@ _GOOD = ["thtiom", "thtion", "ertion", "antion"]
 
 @query(sql(f"SELECT element_id, site_id, chunk, round(score, 6) AS score, rank FROM {_keyword(100, 'true', f'CAST({_w(_BAD)} AS DOUBLE) / ({_w(_BAD)} + 5) + 0.5 * {_w(_GOOD)} / ({_w(_GOOD)} + 5)')}", "chunks"))
 def keyword_with_correction(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.best_chunks(lexical.chunk_scores(tables.chunks(spark, d), _BAD, _GOOD), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
+    return lexical.best_chunks(_scores(spark, d, _BAD, _GOOD), S.most_semantic).select("element_id", "site_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("SELECT element_id, site_id, chunk, lexeme, pos, weight FROM (SELECT element_id, site_id, chunk, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos, weight FROM (SELECT element_id, site_id, chunk, regexp_extract_all(lower(title), '[\\pL\\pN_]+') AS w, 'A' AS weight FROM chunks UNION ALL SELECT element_id, site_id, chunk, regexp_extract_all(lower(body), '[\\pL\\pN_]+'), 'B' FROM chunks))", "chunks"))
@@ -143,7 +161,7 @@ def _fused(keep_all: bool = False, sections: str = "true") -> str:
 
 def _parts(spark: SparkSession, d: str, sections: list[int] | None = None) -> DataFrame:
     sem = semantic.semantic(tables.vectors(spark, d), _q(spark, d), min(S.most_semantic, 10 * 10), sections=sections)
-    key = lexical.best_chunks(lexical.chunk_scores(tables.chunks(spark, d), WORDS, sections=sections), S.most_semantic)
+    key = lexical.best_chunks(_scores(spark, d, WORDS, sections=sections), S.most_semantic)
     return hybrid.fuse(sem, key, S)
 
 
@@ -199,7 +217,62 @@ _REST = f"trim(CASE WHEN starts_with({_STRIP.format('trim(content)')}, title) TH
   got AS (SELECT t.*, coalesce(c.body, '') AS content FROM top t LEFT JOIN chunks c ON c.element_id = t.element_id AND c.site_id = coalesce(s_site, k_site) AND c.chunk = coalesce(s_chunk, k_chunk))
   SELECT element_id, title, url, round(score, 4) AS score, CASE WHEN length({_REST}) > 200 THEN substr({_REST}, 1, 199) || '…' ELSE {_REST} END AS excerpt, round(semantic_score, 4) AS semantic_score, round(keyword_score, 4) AS keyword_score, semantic_rank, keyword_rank, smart_rank FROM got""", "chunks", "vectors", "boosts"))
 def hybrid_formatted(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.formatted(hybrid.hydrate(_boosted(spark, d), tables.entries(spark, d), tables.chunks(spark, d), 10))
+    return hybrid.formatted(hybrid.hydrate(_boosted(spark, d), tables.entries(spark, d), _ix(spark, d).chunks, 10))
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(spark, _ix(spark, d), tables.entries(spark, d), tables.vectors(spark, d), tables.boosts(spark, d), tables.sections(spark), tables.sites(spark))
+
+
+#: A query as a visitor types it: misspelt, with repeats, punctuation and an unknown word; sections by handle, one of them unknown.
+TYPED, HANDLES = "Thtiom ertion, the AND antiom ertion zzzzqq", ["section-1", "section-2", "section-3", "nowhere"]
+
+
+def _search_sql(where: str, near: int = 100) -> str:
+    """The whole search from the text of the query: tokens, lexemes, correction, scores, ranks, fusion, boosts, hydration."""
+    base = "list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '' AND x <> 'or' AND NOT starts_with(x, '-'))"
+    return f""", typed AS (SELECT '{TYPED}' AS text), pos AS (SELECT unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM (SELECT regexp_split_to_array(lower(trim(text)), '\\s+') AS w FROM typed)),
+    tok0 AS (SELECT DISTINCT regexp_replace(raw, '[^\\pL\\pN_]+', '', 'g') AS raw FROM pos), tok AS (SELECT raw FROM tok0 WHERE length(raw) >= 2 UNION SELECT raw FROM pos),
+    {_VARIANTS.replace(f"tok AS (SELECT * FROM (VALUES {_TOKENS}) AS v(raw)), ", "")},
+    base AS (SELECT DISTINCT unnest(flatten(list_transform({base}, lambda x: regexp_extract_all(x, '[\\pL\\pN_]+')))) AS lex FROM typed),
+    clean AS (SELECT raw FROM tok0 WHERE length(raw) >= 2), more AS (SELECT term FROM best WHERE raw IN (SELECT raw FROM clean) AND term <> raw),
+    fixed AS (SELECT raw AS lex FROM clean WHERE EXISTS (SELECT 1 FROM more) UNION SELECT term FROM more),
+    hits AS (SELECT element_id, site_id, section_id, chunk, unnest(regexp_extract_all(lower(title), '[\\pL\\pN_]+')) AS lex, 5 AS w FROM chunks WHERE {where} UNION ALL SELECT element_id, site_id, section_id, chunk, unnest(regexp_extract_all(lower(body), '[\\pL\\pN_]+')), 1 FROM chunks WHERE {where}),
+    sums AS (SELECT element_id, site_id, chunk, coalesce(sum(w) FILTER (lex IN (SELECT lex FROM base)), 0) AS a, coalesce(sum(w) FILTER (lex IN (SELECT lex FROM fixed)), 0) AS b FROM hits GROUP BY ALL),
+    scored AS (SELECT element_id, site_id, chunk, CAST(a AS DOUBLE) / (a + 5) + 0.5 * b / (b + 5) AS score FROM sums WHERE a + b > 0),
+    kbest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY element_id, site_id ORDER BY score DESC, chunk) = 1),
+    ktop AS (SELECT *, row_number() OVER (ORDER BY score DESC, element_id, site_id) AS rank FROM kbest QUALIFY rank <= 100),
+    s AS (SELECT * FROM {_semantic(where, near)} QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY rank DESC) = 1),
+    k AS (SELECT * FROM ktop QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY rank DESC) = 1),
+    fused AS (SELECT coalesce(s.element_id, k.element_id) AS element_id, s.site_id AS s_site, s.chunk AS s_chunk, k.site_id AS k_site, k.chunk AS k_chunk, coalesce(s.similarity, 0) AS semantic_score, s.rank AS semantic_rank, coalesce(k.score, 0) AS keyword_score, k.rank AS keyword_rank,
+      coalesce(0.3 / (60 + s.rank), 0) + coalesce(CAST(0.7 AS DOUBLE) / (60 + k.rank), 0) + CASE WHEN k.score >= 0.5 THEN CAST(0.7 AS DOUBLE) / 60 ELSE 0 END AS score FROM s FULL JOIN k ON s.element_id = k.element_id WHERE NOT (k.rank IS NULL AND s.similarity < 0.15)),
+    slot AS (SELECT pos, CASE WHEN regexp_full_match(p.raw, '\\pL{{3,}}') THEN list_distinct([regexp_replace(p.raw, '[^\\pL\\pN_]+', '', 'g')] || list_filter([b.term], lambda x: x IS NOT NULL)) ELSE [trim(regexp_replace(p.raw, '[^\\pL\\pN.]+', '', 'g'), '.')] END AS lexs FROM pos p LEFT JOIN best b ON b.raw = p.raw),
+    phrase AS (SELECT row_number() OVER () AS rule, element_id, weight, phrases FROM boosts WHERE weight > 0), each AS (SELECT rule, generate_subscripts(phrases, 1) AS n, unnest(phrases) AS ph FROM phrase),
+    met AS (SELECT DISTINCT rule, n FROM each, slot a WHERE CASE WHEN len(ph) = 1 THEN list_contains(a.lexs, ph[1]) ELSE list_contains(a.lexs, ph[1]) AND EXISTS (SELECT 1 FROM slot b WHERE b.pos = a.pos + 1 AND list_contains(b.lexs, ph[2])) END),
+    b AS (SELECT element_id, sum(weight) AS boost FROM phrase p WHERE (SELECT count(*) FROM met m WHERE m.rule = p.rule) = len(phrases) GROUP BY element_id){_BOOSTED.split("boosted AS", 1)[1].join([", boosted AS", ""])}"""
+
+
+_TOP = "live AS (SELECT element_id, title, url FROM entries WHERE url IS NOT NULL AND status = 'enabled'), top AS (SELECT *, row_number() OVER (" + _ORDER + ") AS smart_rank FROM boosted JOIN live USING (element_id) QUALIFY smart_rank <= 10)"
+
+
+@query(lambda: sql(f"{_search_sql('section_id IN (1, 2, 3)')}, {_TOP} SELECT element_id, title, url, round(score, 6) AS score, round(semantic_score, 6) AS semantic_score, semantic_rank, round(keyword_score, 6) AS keyword_score, keyword_rank, smart_rank FROM top", "chunks", "vectors", "boosts"))
+def search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of a typed query: tokens, correction, keyword and semantic ranks in three of four named sections, boosts, hydration, as one call."""
+    found = engine(spark, d).search(TYPED, 10, sections=HANDLES, vector=_q(spark, d))
+    return found.select("element_id", "title", "url", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), "semantic_rank", F.round("keyword_score", 6).alias("keyword_score"), "keyword_rank", "smart_rank")
+
+
+@query("SELECT 0 AS results")
+def search_unknown_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Handles of which none is known: no results."""
+    return engine(spark, d).search(TYPED, 10, sections=["nowhere"], vector=_q(spark, d)).agg(F.count("*").cast("int").alias("results"))
+
+
+@query(lambda: sql(f"{_search_sql('true', 50)}, {_TOP} SELECT element_id, CAST(smart_rank AS INTEGER) AS rank FROM top WHERE smart_rank <= 5", "chunks", "vectors", "boosts"))
+def ai_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of an answer by the default provider, which cites all pages in its prompt."""
+    answer = engine(spark, d).ai_answer(TYPED, 5, vector=_q(spark, d))
+    return spark.createDataFrame([(x["id"], x["rank"]) for x in answer["sources"]], "element_id long, rank int")
 
 
 @query(sql(f"SELECT element_id, round(boost, 6) AS boost FROM {_MATCH}", "boosts"))
@@ -246,12 +319,14 @@ def _grams(x: str) -> str:
 _SIM = f"(len(list_intersect(list_distinct({_grams('t')}), list_distinct({_grams('term')}))) / CAST(len(list_distinct({_grams('t')})) + len(list_distinct({_grams('term')})) - len(list_intersect(list_distinct({_grams('t')}), list_distinct({_grams('term')}))) AS DOUBLE))"
 
 
-@query(sql(f", x AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]+')) AS term FROM entries) SELECT t, term, round({_SIM}, 6) AS similarity FROM x, (VALUES ('thtiom'), ('erttion'), ('antiom')) AS v(t) WHERE {_SIM} >= 0.3", "entries"))
+@query(sql(f", x AS (SELECT term FROM {_TERMS}) SELECT t, term, round({_SIM}, 6) AS similarity FROM x, (VALUES ('thtiom'), ('erttion'), ('antiom')) AS v(t) WHERE {_SIM} >= 0.3", "chunks"))
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    terms = tables.entries(spark, d).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]+)"), F.lit(1))).alias("term")).distinct()
-    t = spark.createDataFrame([("thtiom",), ("erttion",), ("antiom",)], "t string")
+    """Every term of the dictionary against three words, through the stored trigrams: a pair over the gate shares one."""
+    words = ["thtiom", "erttion", "antiom"]
+    t = spark.createDataFrame([(w,) for w in words], "t string").withColumn("gram", F.explode(F.array_distinct(scalar.trigrams(F.col("t")))))
+    grams = store.matching(_ix(spark, d).grams, "gram", sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}))
     s = scalar.similarity(F.col("t"), F.col("term"))
-    return terms.crossJoin(F.broadcast(t)).filter(s >= 0.3).select("t", "term", F.round(s, 6).alias("similarity"))
+    return grams.join(F.broadcast(t), "gram").select("t", "term").distinct().filter(s >= 0.3).select("t", "term", F.round(s, 6).alias("similarity"))
 
 
 _TOKENS = ", ".join(f"('{t}')" for t in TYPOS)
@@ -263,7 +338,9 @@ _VARIANTS = f"""terms AS (SELECT * FROM {_TERMS}), tok AS (SELECT * FROM (VALUES
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.variants(spark.createDataFrame([(t,) for t in TYPOS], "raw string"), lexical.dictionary(tables.chunks(spark, d)))
+    ix = _ix(spark, d)
+    grams = sorted({f"  {t} "[i : i + 3] for t in TYPOS for i in range(len(t) + 1)})
+    return lexical.close_terms(TYPOS, ix.terms.filter(F.col("term").isin(TYPOS)), store.matching(ix.grams, "gram", grams))
 
 
 @query(sql(f", {_VARIANTS} SELECT raw, lexeme, term, round(CAST(sim AS DOUBLE), 6) AS sim, df FROM best", "chunks"))
@@ -274,7 +351,7 @@ def typo_variants(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f", terms AS (SELECT * FROM {_TERMS}) SELECT raw FROM (VALUES {_TOKENS}) AS v(raw) WHERE NOT EXISTS (SELECT 1 FROM terms WHERE term = raw)", "chunks"))
 def typo_anti_exact(spark: SparkSession, d: str) -> DataFrame:
     t = spark.createDataFrame([(x,) for x in TYPOS], "raw string")
-    terms = lexical.dictionary(tables.chunks(spark, d))
+    terms = _ix(spark, d).terms.filter(F.col("term").isin(TYPOS))
     return t.join(terms, t["raw"] == terms["term"], "left_anti")
 
 
@@ -598,13 +675,12 @@ def daily_spend(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BURN = "burn AS (SELECT round(coalesce(sum(cost) FILTER (back <= 7), 0) / 7.0, 6) AS burn, count(*) FILTER (searches > 0) AS days_with_data FROM (SELECT *, row_number() OVER (ORDER BY day DESC) AS back FROM daily))"
-_BUDGET = f"budget AS (SELECT spent, least(1.0, round(spent / {CAP / 10}, 4)) AS ratio, CASE WHEN burn > 0 THEN round({CAP / 10} / burn, 1) END AS eta_days, days_with_data FROM (SELECT round(CAST(coalesce(sum(cost), 0) AS DOUBLE), 6) AS spent FROM history WHERE type = 'aiAnswer' AND CAST(created AS DATE) = DATE '2024-01-30'), burn)"
+_BUDGET = f"budget AS (SELECT spent, least(1.0, round(spent / {CAP / 10}, 4)) AS ratio, CASE WHEN burn > 0 THEN round({CAP / 10} / burn, 1) END AS eta_days, days_with_data FROM (SELECT round(CAST(coalesce(sum(cost), 0) AS DOUBLE), 6) AS spent FROM history WHERE type = 'aiAnswer' AND CAST(created AS DATE) = DATE '{LAST_DAY}'), burn)"
 
 
 def _budget(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    spent = log.filter("type = 'aiAnswer' AND to_date(created) = date'2024-01-30'").agg(F.round(F.coalesce(F.sum("cost"), F.lit(0)).cast("double"), 6).alias("spent"))
-    return dashboard.budget(spent, dashboard.burn(history.daily(log, NOW, 30)), CAP / 10)
+    spent = dashboard.figures(_log(spark, d), history.days_before(NOW, 30), LAST_DAY).select("spent")
+    return dashboard.budget(spent, dashboard.burn(history.daily(_log(spark, d), NOW, 30)), CAP / 10)
 
 
 @query(sql(f", {_daily(30)}, {_BURN}, {_BUDGET} SELECT spent, ratio, eta_days, days_with_data, CASE WHEN eta_days < 30 AND days_with_data >= 7 THEN eta_days END AS shown_eta, CASE WHEN ratio >= 0.9 THEN 'crit' WHEN ratio >= 0.75 THEN 'warn' ELSE 'ok' END AS state FROM budget", "history"))
@@ -626,10 +702,9 @@ def kpi_half_windows(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'warn', 'stale', stale * 1.0 / total > 0.05 FROM c UNION ALL SELECT 'info', 'not-indexed', miss * 1.0 / total > 0.1 FROM c UNION ALL SELECT 'info', 'cache', round(hit, 4) < 0.15 AND s > 50 FROM r, t UNION ALL SELECT 'warn', 'zero-results', round(zero, 4) > 0.4 FROM r
   UNION ALL SELECT 'info', 'no-traffic', week = 0 FROM t UNION ALL SELECT 'crit', 'errors', s > 100 AND e * 1.0 / s > 0.1 FROM t UNION ALL SELECT 'crit', 'no-key', true) WHERE on_""", "history", "vectors", "excluded"))
 def advisories(spark: SparkSession, d: str) -> DataFrame:
-    log = history.within(_log(spark, d), NOW, 30)
     cover = index.coverage_totals(index.coverage(_statuses(spark, d)))
-    cache, zero = history.share_of(log, F.col("cached"), "cache_hit_rate"), history.share_of(log, F.col("results") == 0, "zero_result_rate")
-    return dashboard.advice(_budget(spark, d), cover, cache, zero, history.daily(log, NOW, 30), has_key=False)
+    numbers = dashboard.figures(_log(spark, d), history.days_before(NOW, 30), LAST_DAY)
+    return dashboard.advice(numbers, dashboard.traffic(history.daily(_log(spark, d), NOW, 30)), cover, CAP / 10, has_key=False)
 
 
 @query(sql(f", {_daily(30)}, {_BURN}, {_BUDGET} SELECT 'api' AS key, 'crit' AS state UNION ALL SELECT 'indexer', 'ok' UNION ALL SELECT 'sync', CASE WHEN max(indexed) IS NULL OR date_diff('second', max(indexed), {NOW_SQL}) / 3600.0 > 72 THEN 'warn' ELSE 'ok' END FROM vectors UNION ALL SELECT 'budget', CASE WHEN ratio >= 0.9 THEN 'crit' WHEN ratio >= 0.75 THEN 'warn' ELSE 'ok' END FROM budget", "history", "vectors"))
@@ -644,7 +719,7 @@ _PACK = f"(SELECT * FROM (SELECT *, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT)
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    k = lexical.best_chunks(lexical.chunk_scores(tables.chunks(spark, d), WORDS), S.most_semantic)
+    k = hybrid.with_bodies(lexical.best_chunks(_scores(spark, d, WORDS), S.most_semantic), _ix(spark, d).chunks)
     e = tables.entries(spark, d).select("element_id", "url").filter("url IS NOT NULL")
     return k.join(e, "element_id").select("element_id", "title", "url", F.col("body").alias("content"), "rank")
 
@@ -713,3 +788,6 @@ def concurrency_gauge(spark: SparkSession, d: str) -> DataFrame:
     e = tables.read(spark, d, "events").filter("event_type IN ('view', 'click')")
     kind = F.when(F.col("event_type") == "view", "acquire").otherwise("release")
     return limits.gauge(e.select("event_id", (F.col("user_id") % 50).alias("ip"), F.unix_timestamp("ts").alias("at"), kind.alias("kind"), F.col("user_id").cast("string").alias("nonce")), 2, 10)
+
+
+ORACLE |= {name: later() for name, later in _LATER.items()}

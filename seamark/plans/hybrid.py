@@ -39,12 +39,18 @@ def order() -> list:
     return [F.desc(F.round("score", 12)), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("keyword_rank"), F.asc("element_id")]
 
 
+def with_bodies(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ranked(element_id, site_id, chunk, ...), a page of results, with title and body of the chunk."""
+    keys = ["element_id", "site_id", "chunk"]
+    return F.broadcast(ranked).join(chunks.select(*keys, "title", "body"), keys)
+
+
 def hydrate(ranked: DataFrame, entries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """The first `limit` elements that are there and have a URL, with smart_rank, title, url, and the winning chunk's text.
 
     Texts are fetched last, for survivors only.
     """
-    live = entries.filter("url IS NOT NULL AND status = 'enabled'").select("element_id", "title", "url").dropDuplicates(["element_id"])
+    live = entries.filter("url IS NOT NULL AND status = 'enabled'").select("element_id", "title", "url").join(ranked.select("element_id"), "element_id", "left_semi").dropDuplicates(["element_id"])
     top = ranked.join(live, "element_id").orderBy(*order()).limit(limit)
     top = top.withColumn("smart_rank", F.row_number().over(Window.orderBy(*order())))
     keyed = top.withColumn("c", F.coalesce("s_chunk", "k_chunk")).withColumn("t", F.coalesce("s_site", "k_site"))

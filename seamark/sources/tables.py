@@ -19,6 +19,11 @@ def sites(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SITES), "site_id int, name string, handle string, language string")
 
 
+def sections(spark: SparkSession) -> DataFrame:
+    """(section_id, handle)."""
+    return spark.createDataFrame([(k, f"section-{k}") for k in range(10)], "section_id int, handle string")
+
+
 def _site(lang):
     return F.when(lang == "en", 1).when(lang == "de", 2).when(lang == "fr", 3).when(lang == "es", 4)
 

@@ -92,9 +92,12 @@ def test_scalars(spark):
 
 
 def test_rewrite():
-    assert lexical.rewrite("red hous", [("hous", "house"), ("red", "red")]) == "red | (hous | house)"
-    for q, found, enabled in (("red", [("red", "red")], True), ("re-d", [("re", "red")], True), ('"re"', [("re", "red")], True), ("re", [("re", "red")], False)):
-        assert lexical.rewrite(q, found, enabled) is None
+    assert lexical.rewrite("red hous", {"hous": "house", "red": "red"}) == "red | (hous | house)"
+    assert lexical.rewrite("Red, HOUS! red a hous", {"hous": "house"}) == "red | (hous | house)"  # clean, distinct, two characters or more
+    for q, found, enabled in (("red", {"red": "red"}, True), ("re-d", {"re": "red"}, True), ('"re"', {"re": "red"}, True), ("re", {"re": "red"}, False), ("", {}, True)):
+        assert lexical.rewrite(q, found, enabled) is None and lexical.corrected_lexemes(q, found, enabled) == []
+    assert lexical.corrected_lexemes("thtiom ertion", {"thtiom": "thtion", "ertion": "ertion"}) == ["thtiom", "ertion", "thtion"]
+    assert lexical.search_lexemes("New-York -not or x_1 new") == ["new", "york", "x_1"]
 
 
 def test_phrases_of_the_examples(spark):
