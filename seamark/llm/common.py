@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,64 +11,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import forget, scratch, shared_dir, written
+
+__all__ = ["forget", "scratch", "shared_dir", "written"]
+
 U64 = np.uint64
 #: Python works on at most so many bytes of text at once (one longer text is still processed whole).
 CHUNK_BYTES = 4 << 20
-_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder, in local mode only."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="seamark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; the folder's owner cleans up
-        pass
-
-
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
-        _remove(spark, path)
-
-
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder under the shared one, removed when the application ends."""
-    path = f"{shared_dir(spark)}/seamark-{kind}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, kind: str = "table") -> DataFrame:
-    """df, computed once and written to the shared folder: lineage is cut there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Removes a table of written() that no later plan reads."""
-    for f in df.inputFiles()[:1]:
-        path = f.rpartition("/")[0]
-        _remove(df.sparkSession, path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a variant of it that no column of df has (Spark compares names without case)."""
     have = {c.lower() for c in df.columns}
