@@ -90,3 +90,13 @@ def trending_window(days: int) -> int:
 
 def allowed_range(days: int) -> int:
     return days if days in (7, 30, 90) else 30
+
+
+def seconds_to_midnight(at: Column) -> Column:
+    """Seconds until the next day begins, in UTC sessions."""
+    return F.unix_timestamp(F.date_trunc("day", at) + F.make_dt_interval(days=F.lit(1))) - F.unix_timestamp(at)
+
+
+def slot(at: Column, window: int) -> Column:
+    """The number of the window that a time lies in."""
+    return F.floor(F.unix_timestamp(at) / window)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from datetime import datetime
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -145,31 +146,41 @@ def join_fields(*texts: Column) -> Column:
 def flatten_value(value) -> str:
     """Text of nested lists, maps, strings and numbers, joined by blanks; strings lose their tags."""
     if isinstance(value, str):
-        return parse_strip(value).strip()
+        return parse_strip(value.strip())
     if isinstance(value, bool) or value is None:
         return ""
     if isinstance(value, (int, float)):
         return str(value)
     if isinstance(value, dict):
         value = list(value.values())
-    return " ".join(x for x in map(flatten_value, value) if x)
+    return " ".join(x for x in map(flatten_value, value) if x.strip())
+
+
+def _moment(value) -> datetime | None:
+    if isinstance(value, datetime):
+        return value
+    try:
+        return datetime.fromisoformat(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def field_text(kind: str, value) -> str:
     """Text of a field by its kind: link, asset, category, tag give none; date and time are written out; relations give titles; entries their fields."""
     if value is None or kind in ("link", "asset", "category", "tag"):
         return ""
-    if kind == "date":
-        return f"{value:%B} {value.day}, {value.year}"
-    if kind == "time":
-        return f"{value:%H:%M}"
-    if kind == "relation":
-        return ", ".join(str(x["title"]) for x in value if x.get("title"))
-    if kind == "entries":
-        return " ".join(x for x in (" ".join(filter(None, (field_text(f["kind"], f["value"]) for f in e["fields"]))) for e in value) if x)
-    if kind == "blocks":
-        return " ".join(x for x in (flatten_value(list(b.get("fields", {}).values())) for b in value) if x)
-    return flatten_value(value)
+    if kind in ("date", "time"):
+        at = _moment(value)
+        return "" if at is None else f"{at:%H:%M}" if kind == "time" else f"{at:%B} {at.day}, {at.year}"
+    if kind in ("relation", "entries", "blocks") and isinstance(value, list):
+        rows = [x for x in value if isinstance(x, dict)]
+        if kind == "relation":
+            return ", ".join(str(x["title"]) for x in rows if str(x.get("title") or "").strip())
+        if kind == "entries":
+            own = ([field_text(f["kind"], f["value"]) for f in e.get("fields", []) if f.get("searchable", True)] for e in rows)
+            return " ".join(x for x in (" ".join(t for t in texts if t.strip()) for texts in own) if x)
+        return " ".join(x for x in (flatten_value(list(b.get("fields", {}).values())) for b in rows) if x)
+    return parse_strip(value) if isinstance(value, str) else flatten_value(value)
 
 
 def field_report(kind: str, value, searchable: bool = True) -> tuple[str, str]:
@@ -181,12 +192,12 @@ def field_report(kind: str, value, searchable: bool = True) -> tuple[str, str]:
     if value is None:
         return "", "null value"
     text = field_text(kind, value)
-    return text, "" if text else "no extractable text"
+    return text, "" if text.strip() else "no extractable text"
 
 
 def block_report(blocks: list[dict]) -> list[tuple[str, str]]:
     """(label, text) of nested blocks; labels are `type #n`."""
-    return [(f"{b.get('type', 'block')} #{n}", flatten_value(list(b.get("fields", {}).values()))) for n, b in enumerate(blocks, 1)]
+    return [(f"{b.get('type', 'block')} #{n}", flatten_value(list(b.get("fields", {}).values()))) for n, b in enumerate((b for b in blocks if isinstance(b, dict)), 1)]
 
 
 # --- Chunks -----------------------------------------------------------------------------------------------------------------

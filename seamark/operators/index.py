@@ -12,7 +12,10 @@ KEY = ["element_id", "site_id"]
 
 
 def eligible(entries: DataFrame) -> DataFrame:
-    """Entries to index: enabled, with a URL."""
+    """Entries to index: enabled, with a URL, no drafts or revisions where the table tells."""
+    for c in ("is_draft", "is_revision"):
+        if c in entries.columns:
+            entries = entries.filter(~F.coalesce(F.col(c), F.lit(False)))
     return entries.filter("status = 'enabled' AND url IS NOT NULL AND url <> ''")
 
 
@@ -169,4 +172,4 @@ def chunk_bars(chunks: DataFrame) -> DataFrame:
     """(element_id, site_id, chunk, tokens, bar): each chunk's tokens, and in percent of the entry's largest."""
     n = chunks.select(*KEY, "chunk", text.tokens(F.coalesce("body", F.lit(""))).alias("tokens"))
     most = F.max("tokens").over(Window.partitionBy(*KEY))
-    return n.withColumn("bar", F.when(most > 0, F.round(F.col("tokens") / most * 100).cast("int")).otherwise(0))
+    return n.withColumn("bar", F.when(most > 0, F.round(F.col("tokens") * 100 / most).cast("int")).otherwise(0))

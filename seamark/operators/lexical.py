@@ -6,7 +6,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BODY_FIFTHS, LEAST_SIMILARITY, LEAST_TOKEN, MOST_VARIANTS, TITLE_FIFTHS, TRIGRAM_GATE
+from ..config import BODY_FIFTHS, LEAST_SIMILARITY, LEAST_TOKEN, LOCALES, MOST_VARIANTS, TITLE_FIFTHS, TRIGRAM_GATE
 from ..functions import scalar, text
 
 _JUNK, _WORD = regex.compile(r"[^\p{L}\p{N}_]+"), regex.compile(r"[\p{L}\p{N}_]+")
@@ -123,6 +123,11 @@ def variants(tokens: DataFrame, terms: DataFrame, edit_limit: bool = True) -> Da
     return both.withColumn("n", F.row_number().over(w)).filter("n <= 1").drop("n")
 
 
+def language(locale: Column) -> Column:
+    """The text search configuration of a locale such as de-CH; 'simple' for those without one."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LOCALES.items() for x in kv)), F.element_at(F.split(F.lower(locale), "[-_]"), 1)), F.lit("simple"))
+
+
 def clean_tokens(query: str) -> list[str]:
     """Distinct clean lexemes of at least two characters, in order."""
     return [x for x in dict.fromkeys(_JUNK.sub("", w) for w in query.lower().split()) if len(x) >= 2]

@@ -12,9 +12,11 @@ from ..api import Engine, insights
 from ..config import Settings
 from ..functions import scalar, text
 from ..operators import boosts, dashboard, extract, history, index, lexical, rag, semantic
+from ..session import scratch
 from ..sources import tables
 from ..sources.tables import NOW
 from ..streaming import limits
+from ..streaming.index_stream import IndexStream
 from . import hybrid
 from .prelude import NOW_SQL, sql
 
@@ -298,6 +300,7 @@ def boost_sync(spark: SparkSession, d: str) -> DataFrame:
 
 # --- Dictionary and correction ----------------------------------------------------------------------------------------------
 
+_TERMS_CTE = "dict AS (SELECT term, count(*) AS df FROM (SELECT unnest(regexp_extract_all(lower(title || ' ' || body), '[\\pL\\pN_]+')) AS term FROM chunks) WHERE length(term) >= 3 GROUP BY term)"
 _TERMS = "(SELECT term, count(*) AS df FROM (SELECT unnest(regexp_extract_all(lower(title || ' ' || body), '[\\pL\\pN_]+')) AS term FROM chunks) WHERE length(term) >= 3 GROUP BY term)"
 
 
@@ -374,14 +377,6 @@ def _chunked(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "documents").select("doc_id", make(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("c"))
 
 
-@query("SELECT doc_id, 1 AS chunks FROM documents WHERE ceil(octet_length(encode(replace(text, chr(10), chr(10) || chr(10)))) / 4.0) < 500")
-def chunk_counts_short(spark: SparkSession, d: str) -> DataFrame:
-    """Texts below the threshold are one chunk; the packing of longer ones, which SQL can't express, is tested against brute force."""
-    short = text.tokens(F.replace("text", F.lit("\n"), F.lit("\n\n"))) < S.chunk_threshold
-    make = text.chunks(S)
-    return tables.read(spark, d, "documents").filter(short).select("doc_id", F.size(make(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunks"))
-
-
 @query()
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every text; SQL can't express the packing, an independent chunker is the test."""
@@ -428,16 +423,19 @@ def sanitize_pages(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "pages").select("page_id", text.sanitize(F.col("html")).alias("clean"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 8000 THEN octet_length(encode(text)) ELSE 8000 END >= octet_length(encode(text)) AS whole FROM documents")
+@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), '<\\|[^|>]*\\|>', '', 'g'), '(^|\\n)\\s*(```+|~~~+)', '\\1', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+  k AS (SELECT doc_id, t, CASE WHEN octet_length(encode(t)) <= 8000 THEN length(t) ELSE list_max(list_filter(range(2000, 8001), lambda n: octet_length(encode(substr(t, 1, n))) <= 8000)) END AS n FROM c)
+  SELECT doc_id, md5(substr(t, 1, n)) AS input, CAST(octet_length(encode(substr(t, 1, n))) AS INTEGER) AS bytes FROM k""")
 def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
-    cut = text.head_bytes(F.col("text"), 8000)
-    return tables.read(spark, d, "documents").select("doc_id", ((cut == F.col("text")) & (F.octet_length(cut) <= 8000)).alias("whole"))
+    """Every text as it goes to the embedding provider: sanitised, then the longest start of at most 8,000 bytes."""
+    t = text.embedding_input(F.col("text"))
+    return tables.read(spark, d, "documents").select("doc_id", F.md5(t).alias("input"), F.octet_length(t).alias("bytes"))
 
 
-@query(sql("SELECT element_id, concat_ws(chr(10) || chr(10), title, CASE WHEN section_id % 2 = 0 THEN nullif(text, '') END, url) AS content FROM entries", "entries"))
+@query(sql("SELECT element_id, concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(text, ''), url) AS content FROM entries", "entries"))
 def extract_text(spark: SparkSession, d: str) -> DataFrame:
     e = tables.entries(spark, d)
-    return e.select("element_id", text.join_fields(F.col("title"), F.when(F.col("section_id") % 2 == 0, F.col("text")), F.col("url")).alias("content"))
+    return e.select("element_id", text.join_fields(F.col("title"), F.col("text"), F.col("url")).alias("content"))
 
 
 # --- Index ------------------------------------------------------------------------------------------------------------------
@@ -769,25 +767,158 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 5).alias("ip"), F.unix_timestamp("ts").alias("at"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT event_id AS request_id, user_id % 5 AS ip, CAST(floor(epoch(ts)) AS BIGINT) AS "at", row_number() OVER (PARTITION BY user_id % 5 ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
+def _limited(most: int, window: int) -> str:
+    return f"""WITH RECURSIVE r AS (SELECT event_id AS request_id, user_id % 5 AS ip, CAST(floor(epoch(ts)) AS BIGINT) AS "at", row_number() OVER (PARTITION BY user_id % 5 ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
   s AS (SELECT ip, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS slot, 0 AS cur, 0 AS prev, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS "at", false AS admitted FROM (SELECT DISTINCT ip FROM r)
-  UNION ALL SELECT ip, n, h, CASE WHEN ok THEN c + 1 ELSE c END, p, request_id, "at", ok FROM (SELECT *, p * (3600 - ("at" - h * 3600)) / 3600.0 + c < 3 AS ok FROM (
-    SELECT s.ip, r.n, r.request_id, r."at", r."at" // 3600 AS h, CASE WHEN r."at" // 3600 = s.slot THEN s.cur ELSE 0 END AS c, CASE WHEN r."at" // 3600 = s.slot THEN s.prev WHEN r."at" // 3600 = s.slot + 1 THEN s.cur ELSE 0 END AS p FROM s JOIN r ON r.ip = s.ip AND r.n = s.n + 1)))
-  SELECT request_id, ip, "at", admitted, CASE WHEN admitted THEN 0 ELSE greatest(1, 3600 - "at" % 3600) END AS retry_after FROM s WHERE n > 0""")
+  UNION ALL SELECT ip, n, h, CASE WHEN ok THEN c + 1 ELSE c END, p, request_id, "at", ok FROM (SELECT *, p * ({window} - ("at" - h * {window})) / {window}.0 + c < {most} AS ok FROM (
+    SELECT s.ip, r.n, r.request_id, r."at", r."at" // {window} AS h, CASE WHEN r."at" // {window} = s.slot THEN s.cur ELSE 0 END AS c, CASE WHEN r."at" // {window} = s.slot THEN s.prev WHEN r."at" // {window} = s.slot + 1 THEN s.cur ELSE 0 END AS p FROM s JOIN r ON r.ip = s.ip AND r.n = s.n + 1)))
+  SELECT request_id, ip, "at", admitted, CASE WHEN admitted THEN 0 ELSE greatest(1, {window} - "at" % {window}) END AS retry_after FROM s WHERE n > 0"""
+
+
+@query(_limited(3, 3600))
 def rate_limit_hour(spark: SparkSession, d: str) -> DataFrame:
     return limits.limit_batch(_requests(spark, d), [(3, 3600)])
 
 
+@query(_limited(1, 60))
+def rate_limit_minute(spark: SparkSession, d: str) -> DataFrame:
+    return limits.limit_batch(_requests(spark, d), [(1, 60)])
+
+
 @query()
 def rate_limit_two_windows(spark: SparkSession, d: str) -> DataFrame:
     return limits.limit_batch(_requests(spark, d), [(1, 60), (3, 3600)])
 
 
+@query(_limited(3, 3600))
+def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """rate_limit_hour on a stream of the events table: keyed state, all that is there is worked off."""
+    folder = scratch(spark, "limits")
+    events = spark.readStream.schema(tables.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    requests = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 5).alias("ip"), F.unix_timestamp("ts").alias("at"))
+    limits.drain(limits.limit_stream(requests, [(3, 3600)]).writeStream.option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out"), spark)
+    return spark.read.schema(limits.OUT).parquet(f"{folder}/out")
+
+
+def _gauged(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("view", "signup", "purchase"), "acquire").otherwise("release")
+    return tables.read(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("ip"), F.unix_timestamp("ts").alias("at"), kind.alias("kind"), F.col("user_id").cast("string").alias("nonce"))
+
+
 @query()
 def concurrency_gauge(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.read(spark, d, "events").filter("event_type IN ('view', 'click')")
-    kind = F.when(F.col("event_type") == "view", "acquire").otherwise("release")
-    return limits.gauge(e.select("event_id", (F.col("user_id") % 50).alias("ip"), F.unix_timestamp("ts").alias("at"), kind.alias("kind"), F.col("user_id").cast("string").alias("nonce")), 2, 10)
+    """Every event takes or gives back a place: two for each ip, ten in all."""
+    return limits.gauge(_gauged(spark, d), 2, 10, 86400)
+
+
+@query()
+def concurrency_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return limits.gauge_by_key(_gauged(spark, d), 2, 86400)
+
+
+@query(sql(f"""SELECT element_id, site_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk, len(c) AS total, h AS content_hash, section_id, {NOW_SQL} AS indexed, unnest(c) AS body
+  FROM (SELECT *, string_split(text, chr(10)) AS c, sha256(text) AS h FROM entries WHERE status = 'enabled' AND url IS NOT NULL AND element_id % 20 <> 3 AND trim(text) <> '')""", "entries"))
+def streaming_index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The index of a stream of changes: every entry is drafted, saved, and some are disabled again by a later change."""
+    folder = scratch(spark, "changes")
+    e = tables.entries(spark, d).withColumn("chunks", F.split("text", "\n", -1))
+    no = F.lit(False)
+    first = e.withColumn("text", F.concat(F.lit("older "), "text")).withColumns({"is_draft": no, "is_revision": no})
+    noise = e.withColumn("status", F.lit("disabled")).withColumns({"is_draft": F.col("element_id") % 2 == 0, "is_revision": F.col("element_id") % 2 == 1, "updated": F.col("updated") + F.make_dt_interval(days=F.lit(9))})
+    later = e.withColumn("status", F.when(F.col("element_id") % 20 == 3, "disabled").otherwise(F.col("status"))).withColumns({"is_draft": no, "is_revision": no, "updated": F.col("updated") + F.make_dt_interval(days=F.lit(1))})
+    kind = "element_id long, site_id int, chunk int, total int, content_hash string, section_id int, indexed timestamp, title string, body string"
+    sink = IndexStream(spark, f"{folder}/index", NOW, kind)
+    for k, part in enumerate((first, noise.unionByName(later))):  # each a file of changes, and a start of its own
+        part.coalesce(1).write.parquet(f"{folder}/feed/{k}")
+        changes = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/feed")
+        sink.start(changes, f"{folder}/checkpoint").awaitTermination()
+    return sink.read().drop("title").filter("body IS NOT NULL")
+
+
+# --- Sources, sinks, keys -----------------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT element_id, site_id, chunk, body FROM chunks WHERE element_id = 5 AND site_id = (SELECT site_id FROM entries WHERE element_id = 5) ORDER BY chunk", "chunks"))
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    site = tables.entries(spark, d).filter("element_id = 5").select("site_id").first()[0]
+    return index.lookup(_ix(spark, d).chunks, 5, site).select("element_id", "site_id", "chunk", "body")
+
+
+@query(sql("SELECT count(*) AS rows FROM vectors WHERE false", "vectors"))
+def index_delete_all(spark: SparkSession, d: str) -> DataFrame:
+    return index.delete_all(_index(spark, d)).agg(F.count("*").alias("rows"))
+
+
+@query(sql("SELECT element_id, site_id, weight FROM boosts WHERE element_id <> 10 AND NOT (element_id = 20 AND site_id = 1)", "boosts"))
+def boost_delete(spark: SparkSession, d: str) -> DataFrame:
+    return boosts.delete(boosts.delete(tables.boosts(spark, d), 10), 20, 1).select("element_id", "site_id", "weight")
+
+
+@query(sql("SELECT element_id, site_id FROM (SELECT element_id, site_id FROM excluded UNION SELECT element_id, site_id FROM entries WHERE element_id % 7 = 0) WHERE element_id % 2 = 1", "entries", "excluded"))
+def exclusion_set(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh entry is excluded too, each once, and those with even ids are included again."""
+    e = tables.entries(spark, d)
+    return index.include(index.exclude(tables.excluded(spark, d), e.filter("element_id % 7 = 0")), e.filter("element_id % 2 = 0"))
+
+
+@query(sql("SELECT element_id, site_id, EXISTS (SELECT 1 FROM excluded x WHERE x.element_id = e.element_id AND x.site_id = e.site_id) AS excluded FROM entries e", "entries", "excluded"))
+def exclusion_states(spark: SparkSession, d: str) -> DataFrame:
+    return index.are_excluded(tables.entries(spark, d).select("element_id", "site_id"), tables.excluded(spark, d))
+
+
+@query(sql(f", {_TERMS_CTE} SELECT EXISTS (SELECT 1 FROM dict) AS found, (SELECT count(*) FROM dict) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM dict) AS occurrences", "chunks"))
+def dictionary_status(spark: SparkSession, d: str) -> DataFrame:
+    terms = _ix(spark, d).terms
+    return index.exists(terms).crossJoin(terms.agg(F.count("*").alias("terms"), F.sum("df").alias("occurrences")))
+
+
+@query(sql("SELECT element_id, site_id, chunk, n AS tokens, CASE WHEN max(n) OVER w > 0 THEN CAST(round(n * 100.0 / max(n) OVER w) AS INTEGER) ELSE 0 END AS bar FROM (SELECT *, CAST(ceil(octet_length(encode(body)) / 4.0) AS INTEGER) AS n FROM chunks) WINDOW w AS (PARTITION BY element_id, site_id)", "chunks"))
+def chunk_bars(spark: SparkSession, d: str) -> DataFrame:
+    return index.chunk_bars(_ix(spark, d).chunks)
+
+
+@query(sql("SELECT type, 2 * count(*) AS rows, 2 * count(*) FILTER (error IS NOT NULL) AS errors, CAST(2 * sum(total_tokens) AS BIGINT) AS tokens, round(CAST(2 * sum(cost) AS DOUBLE), 6) AS cost FROM history GROUP BY type", "history"))
+def history_append(spark: SparkSession, d: str) -> DataFrame:
+    """The log written by its sink twice, and read back."""
+    folder = scratch(spark, "history")
+    for _ in range(2):
+        history.append(_log(spark, d), folder)
+    return spark.read.parquet(folder).groupBy("type").agg(F.count("*").alias("rows"), F.count_if("has_error").alias("errors"), F.sum("total_tokens").alias("tokens"), F.round(F.sum("cost").cast("double"), 6).alias("cost"))
+
+
+@query(sql(f"SELECT id, 86400 - CAST(epoch(date_trunc('second', created)) AS BIGINT) % 86400 AS to_midnight, CAST(floor(epoch(created) / 3600) AS BIGINT) AS slot FROM history", "history"))
+def log_times(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).select("id", scalar.seconds_to_midnight(F.col("created")).alias("to_midnight"), scalar.slot(F.col("created"), 3600).alias("slot"))
+
+
+@query(sql("SELECT site_id, CASE handle WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' ELSE 'simple' END AS language FROM sites", "sites"))
+def site_languages(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sites(spark).select("site_id", lexical.language(F.col("language")).alias("language"))
+
+
+@query(sql("""SELECT element_id, handle, kind, reason, reason = '' AS indexed, CASE WHEN handle IN ('when', 'facts') THEN text END AS text FROM (
+  SELECT element_id, unnest(['body', 'when', 'facts', 'link', 'secret', 'gone', 'blank']) AS handle, unnest(['text', 'date', 'table', 'link', 'text', 'text', 'table']) AS kind,
+    unnest([CASE WHEN trim(text) = '' THEN 'no extractable text' ELSE '' END, '', '', 'skipped', 'searchable=false', 'null value', 'no extractable text']) AS reason,
+    unnest([text, strftime(updated, '%B ') || day(updated) || ', ' || year(updated), 'Section ' || section_id || ' nested', '', '', '', '']) AS text FROM entries)""", "entries"))
+def field_reports(spark: SparkSession, d: str) -> DataFrame:
+    """What each field of each entry gives, and why not."""
+    r = extract.report()(tables.typed_fields(F.col("text"), F.col("updated"), F.col("section_id")))
+    e = tables.entries(spark, d).select("element_id", F.explode(r).alias("f"))
+    return e.select("element_id", "f.handle", "f.kind", "f.reason", "f.indexed", F.when(F.col("f.handle").isin("when", "facts"), F.col("f.text")).alias("text"))
+
+
+@query()
+def index_entries(spark: SparkSession, d: str) -> DataFrame:
+    """From typed fields to indexed chunks: extraction, chunks with overlap, embeddings of what changed; excluded and disabled entries go."""
+    e = tables.entries(spark, d)
+    typed = e.withColumn("fields", tables.typed_fields(F.col("text"), F.col("updated"), F.col("section_id"))).drop("text")
+    kind = "element_id long, site_id int, section_id int, title string, content_hash string, total int, chunk int, body string, indexed timestamp, vector array<float>"
+    return extract.index_entries(spark.createDataFrame([], kind), typed, tables.excluded(spark, d), NOW, S)
+
+
+@query(sql(f"SELECT count(*) AS searches, CAST(sum(embedding_tokens) AS BIGINT) AS embedding_tokens, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS answer_tokens, round(CAST(sum(cost) AS DOUBLE), 6) AS cost, CAST(round(avg(duration_ms)) AS INTEGER) AS mean_ms, count(*) FILTER (has_error) AS errors FROM history WHERE {_since(7)}", "history"))
+def insights_overview(spark: SparkSession, d: str) -> DataFrame:
+    return insights(_log(spark, d), NOW, "overview", 7)
 
 
 ORACLE |= {name: later() for name, later in _LATER.items()}

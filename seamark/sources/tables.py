@@ -39,6 +39,17 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_fields(text, updated, section):
+    """Fields of an entry: its text, a date, a table, and some that give no text."""
+    one = lambda handle, kind, value, searchable=True: F.struct(F.lit(handle).alias("handle"), F.lit(kind).alias("kind"), F.lit(searchable).alias("searchable"), value.cast("string").alias("value"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), '(?s)^[{]"v":(.*)[}]$', 1)
+    facts = F.concat(F.lit('["<b>Section</b>", '), section.cast("string"), F.lit(', true, null, [" nested "]]'))
+    return F.array(
+        one("body", "text", quoted(text)), one("when", "date", quoted(F.date_format(updated, "yyyy-MM-dd'T'HH:mm:ss"))), one("facts", "table", facts), one("link", "link", F.lit('"x"')),
+        one("secret", "text", F.lit('"hidden"'), False), one("gone", "text", F.lit(None)), one("blank", "table", F.lit('[" ", {"a": false}]')),
+    )
+
+
 def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     return read(spark, sf_dir, "documents").join(bad, "doc_id", "left_semi").select(F.col("doc_id").alias("element_id"), _site(F.col("lang")).alias("site_id"))
