@@ -80,12 +80,13 @@ def close_terms(lexemes: list[str], terms: DataFrame, grams: DataFrame, edit_lim
     exact = F.broadcast(lex).join(terms, F.col("term") == F.col("lexeme")).select("raw", "lexeme", "term", F.lit(1.0).alias("sim"), "df")
     unknown = lex.filter(F.length("lexeme") >= LEAST_TOKEN).join(exact.select("raw"), "raw", "left_anti")
     left = unknown.select("raw", "lexeme", F.explode(F.array_distinct(scalar.trigrams(F.col("lexeme")))).alias("gram"))
-    pairs = grams.join(F.broadcast(left), "gram")
+    near = F.lit(True)
     if edit_limit:
         cap = scalar.edit_cap(F.col("lexeme"))
-        pairs = pairs.filter((F.abs(F.length("term") - F.length("lexeme")) <= cap) & (F.levenshtein("term", "lexeme") <= cap))
-    pairs = pairs.select("raw", "lexeme", "term", "df").distinct()
-    close = pairs.filter(scalar.similarity(F.col("lexeme"), F.col("term")) >= TRIGRAM_GATE).withColumn("sim", scalar.word_similarity(F.col("lexeme"), F.col("term"))).filter(F.col("sim") >= LEAST_SIMILARITY)
+        near = (F.abs(F.length("term") - F.length("lexeme")) <= cap) & (F.levenshtein("term", "lexeme") <= cap)
+    # One conditional expression: wherever the optimiser moves it, the dear parts are only worked out for terms that passed the cheap ones.
+    sim = F.when(near, F.when(scalar.similarity(F.col("lexeme"), F.col("term")) >= TRIGRAM_GATE, scalar.word_similarity(F.col("lexeme"), F.col("term"))))
+    close = grams.join(F.broadcast(left), "gram").select("raw", "lexeme", "term", sim.alias("sim"), "df").filter(F.col("sim") >= LEAST_SIMILARITY).distinct()
     both = exact.unionByName(close.select("raw", "lexeme", "term", "sim", "df"))
     return both.withColumn("n", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("sim"), F.desc("df"), "term"))).filter(F.col("n") <= MOST_VARIANTS).drop("n")
 
