@@ -12,7 +12,7 @@ budget is one task, in which node pairs advance as arrays. Each task returns a s
 group of thousands of copies yields thousands of edges, not millions.
 
 What is sent: a fingerprint goes once for each block and each subtree within that block's budget. A subtree holds up to 2^20 fingerprints (32 bytes
-each), so 14 million of them (30 GB of text) make 45 copies, 70 million 78; the number of tasks follows, and none holds more than two subtrees' worth,
+each), so 14 million of them (30 GB of text) make 45 copies each, 30 million 78; the number of tasks follows, and none holds more than two subtrees' worth,
 as bits are taken in the order of how evenly they are set.
 
 Defined results: null and empty texts, and texts without words, are equal to nothing and never grouped; near_duplicates() leaves out rows with a null doc_id
