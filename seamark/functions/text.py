@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, time
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -156,8 +156,8 @@ def flatten_value(value) -> str:
     return " ".join(x for x in map(flatten_value, value) if x.strip())
 
 
-def _moment(value) -> datetime | None:
-    if isinstance(value, datetime):
+def _moment(value) -> datetime | date | time | None:
+    if isinstance(value, (date, time)):
         return value
     try:
         return datetime.fromisoformat(value)
