@@ -33,7 +33,7 @@ def hash_embedding(text: str, dimensions: int = DIMENSIONS) -> list[float]:
 
 def cite_all(messages: list[dict[str, str]]) -> str:
     """Answers with the ids of the pages in the prompt, in their order."""
-    ids = [int(x) for x in re.findall(r"^OUR PAGE (\d+)$", messages[-1]["content"], re.M)]
+    ids = [int(x) for x in re.findall(r"^THE PAGE (\d+)$", messages[-1]["content"], re.M)]
     return json.dumps({"summary": " ".join(["See", *(f"[{i}]" for i in ids)]), "sourceIds": ids, "confidence": "high" if ids else "low"})
 
 

@@ -15,7 +15,7 @@ def blocks(results: DataFrame) -> DataFrame:
     """results(element_id, title, url, content, rank) with block, the text of a source in a prompt, and its tokens."""
     one = lambda c, by: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\r\\n]", by)
     body = sanitize(F.coalesce("content", F.lit("")))
-    block = F.concat(F.lit("---\nOUR PAGE "), F.col("element_id"), F.lit("\nTitle: "), one("title", " "), F.lit("\nURL: "), one("url", ""), F.lit("\nContent:\n"), body, F.lit("\n---"))
+    block = F.concat(F.lit("---\nTHE PAGE "), F.col("element_id"), F.lit("\nTitle: "), one("title", " "), F.lit("\nURL: "), one("url", ""), F.lit("\nContent:\n"), body, F.lit("\n---"))
     return results.withColumn("block", block).withColumn("block_tokens", tokens(F.col("block")))
 
 
@@ -34,7 +34,7 @@ def context(packed: DataFrame) -> DataFrame:
 
 def messages(query: DataFrame, packed_context: DataFrame, streaming: bool = False, style: str = "Answer from the pages only.") -> DataFrame:
     """(role, content) of the prompt for query(query)."""
-    closing = "Write markdown with inline [id] citations." if streaming else 'Return JSON: {"summary": "your answer", "sourceIds": [id1, id2], "confidence": "high|medium|low"}'
+    closing = "Write markdown with inline [id] citations." if streaming else 'Reply with one JSON object of three keys: "summary" (text), "sourceIds" (a list of page ids), "confidence" (high, medium or low).'
     user = F.concat(F.lit("<user_query>\n"), sanitize(F.col("query")), F.lit("\n</user_query>\n\n"), F.col("context"), F.lit("\n\n" + closing))
     return query.crossJoin(F.broadcast(packed_context)).select(F.explode(F.array(F.struct(F.lit("system").alias("role"), F.lit(style).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))).alias("m")).select("m.*")
 

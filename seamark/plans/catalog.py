@@ -712,7 +712,7 @@ def health_states(spark: SparkSession, d: str) -> DataFrame:
 
 # --- Answers ----------------------------------------------------------------------------------------------------------------
 
-_BLOCK = "'---' || chr(10) || 'OUR PAGE ' || element_id || chr(10) || 'Title: ' || regexp_replace(title, '[\\r\\n]', ' ', 'g') || chr(10) || 'URL: ' || url || chr(10) || 'Content:' || chr(10) || trim(body, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '---'"
+_BLOCK = "'---' || chr(10) || 'THE PAGE ' || element_id || chr(10) || 'Title: ' || regexp_replace(title, '[\\r\\n]', ' ', 'g') || chr(10) || 'URL: ' || url || chr(10) || 'Content:' || chr(10) || trim(body, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '---'"
 _PACK = f"(SELECT * FROM (SELECT *, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT) AS used FROM (SELECT element_id, rank, CAST(ceil(octet_length(encode({_BLOCK})) / 4.0) AS INTEGER) AS n FROM (SELECT k.*, e.url FROM {_keyword(100)} k JOIN entries e USING (element_id) WHERE url IS NOT NULL))) WHERE used <= 2000 OR rank = (SELECT min(rank) FROM {_keyword(100)} JOIN entries USING (element_id) WHERE url IS NOT NULL))"
 
 
@@ -750,7 +750,7 @@ def rag_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(f""", {_CONTEXT} SELECT 'system' AS role, 'Answer from the pages only.' AS content UNION ALL
-  SELECT 'user', '<user_query>' || chr(10) || '{QUERY}' || chr(10) || '</user_query>' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Return JSON: {{"summary": "your answer", "sourceIds": [id1, id2], "confidence": "high|medium|low"}}' FROM ctx""", "chunks"))
+  SELECT 'user', '<user_query>' || chr(10) || '{QUERY}' || chr(10) || '</user_query>' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Reply with one JSON object of three keys: "summary" (text), "sourceIds" (a list of page ids), "confidence" (high, medium or low).' FROM ctx""", "chunks"))
 def rag_messages(spark: SparkSession, d: str) -> DataFrame:
     return rag.messages(_text(spark), rag.context(rag.pack(_results(spark, d), 2000)))
 
