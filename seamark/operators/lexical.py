@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BODY_FIFTHS, LEAST_SIMILARITY, LEAST_TOKEN, LOCALES, MOST_VARIANTS, TITLE_FIFTHS, TRIGRAM_GATE
-from ..functions import scalar, text
+from ..functions import inverted, scalar, text
 
 _JUNK, _WORD = regex.compile(r"[^\p{L}\p{N}_]+"), regex.compile(r"[\p{L}\p{N}_]+")
 
@@ -49,13 +49,16 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("element_id", "site_id", "chunk", F.explode(F.concat(words("title", "A"), words("body", "B"))).alias("p")).select("element_id", "site_id", "chunk", "p.*")
 
 
-def counted_postings(chunks: DataFrame) -> DataFrame:
-    """(lexeme, element_id, site_id, section_id, chunk, fifths, occurrences): a row for each lexeme of a chunk, counted in the row itself, without a shuffle."""
+def posting_lists(chunks: DataFrame) -> DataFrame:
+    """(bucket, lexeme, occurrences, hits), hits of (element_id, site_id, section_id, chunk, weight in fifths). A chunk's words all lie in its row, so nothing is shuffled."""
     title, body = (text.lexemes(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body"))
-    words = F.concat(F.transform(title, lambda x: F.struct(x.alias("l"), F.lit(TITLE_FIFTHS).alias("w"))), F.transform(body, lambda x: F.struct(x.alias("l"), F.lit(BODY_FIFTHS).alias("w"))))
-    each = chunks.select("element_id", "site_id", "section_id", "chunk", F.explode(words).alias("p"))
-    # Chunks are keyed, and a chunk's rows lie side by side: partial aggregation leaves what is sent.
-    return each.groupBy(F.col("p.l").alias("lexeme"), "element_id", "site_id", "section_id", "chunk").agg(F.sum("p.w").cast("int").alias("fifths"), F.count("*").alias("occurrences"))
+    rows = chunks.select("element_id", "site_id", "section_id", "chunk", title.alias("title"), body.alias("body"))
+    return inverted.invert(rows, "lexeme", {"title": TITLE_FIFTHS, "body": BODY_FIFTHS})
+
+
+def trigram_lists(terms: DataFrame) -> DataFrame:
+    """(bucket, gram, occurrences, hits), hits of (term, df, weight)."""
+    return inverted.invert(terms.select("term", "df", F.array_distinct(scalar.trigrams(F.col("term"))).alias("grams")), "gram", {"grams": 1})
 
 
 def posting_scores(postings: DataFrame, wanted: list[str], corrected: list[str] | None = None, site_id: int | None = None, sections: list[int] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def _site(lang):
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(element_id, site_id, section_id, title, url, status, updated, text)."""
     d = F.col("doc_id")
-    title = F.array_join(F.slice(F.split(F.trim("text"), "\\s+"), 1, 6), " ")
+    title = F.array_join(F.slice(F.split(F.trim("text"), "\\s+", 7), 1, 6), " ")
     return read(spark, sf_dir, "documents").select(
         d.alias("element_id"), _site(F.col("lang")).alias("site_id"), (d % 10).cast("int").alias("section_id"), title.alias("title"),
         F.when(d % 50 != 7, F.concat(F.lit("/d/"), d)).alias("url"), F.when(d % 40 == 3, "disabled").otherwise("enabled").alias("status"),
@@ -57,9 +57,9 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for every line: (element_id, site_id, section_id, chunk, chunks, title, body)."""
-    e = entries(spark, sf_dir)
-    lines = F.split("text", "\n", -1)
-    return e.select("element_id", "site_id", "section_id", "title", F.size(lines).alias("chunks"), F.posexplode(lines).alias("chunk", "body"))
+    # Lines are cut and counted before they are dealt out: beside the generator, their number would be worked out from the whole text for each line.
+    e = entries(spark, sf_dir).withColumn("lines", F.split("text", "\n", -1)).withColumn("chunks", F.size("lines"))
+    return e.select("element_id", "site_id", "section_id", "title", "chunks", F.posexplode("lines").alias("chunk", "body"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
