@@ -94,6 +94,8 @@ class _Stripper(HTMLParser):
 
 def parse_strip(text: str) -> str:
     """Tags go, their text stays, with quoted attributes understood; entities stay as they are."""
+    if "<" not in text and "&" not in text:
+        return text
     p = _Stripper()
     p.feed(text)
     p.close()
@@ -203,6 +205,9 @@ def block_report(blocks: list[dict]) -> list[tuple[str, str]]:
 # --- Chunks -----------------------------------------------------------------------------------------------------------------
 
 
+SLICE = 200
+
+
 def _size(text: str) -> int:
     return -(-len(text.encode()) // BYTES_PER_TOKEN)
 
@@ -279,6 +284,9 @@ def chunks(s: Settings) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else chunk_text(x, s) for x in text.to_pylist()], pa.list_(pa.string()))
+        # In slices, so that of a batch only few texts and chunks are Python's at a time.
+        parts = (text.slice(k, SLICE).to_pylist() for k in range(0, len(text), SLICE))
+        made = [pa.array([None if x is None else chunk_text(x, s) for x in part], pa.list_(pa.string())) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.string()))
 
     return run
