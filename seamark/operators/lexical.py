@@ -45,8 +45,9 @@ def best_chunks(scored: DataFrame, limit: int, score: str = "score") -> DataFram
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(element_id, site_id, chunk, lexeme, pos, weight)."""
-    words = lambda c, w: F.transform(text.lexemes(F.coalesce(F.col(c), F.lit(""))), lambda x, i: F.struct(x.alias("lexeme"), (i + 1).alias("pos"), F.lit(w).alias("weight")))
-    return chunks.select("element_id", "site_id", "chunk", F.explode(F.concat(words("title", "A"), words("body", "B"))).alias("p")).select("element_id", "site_id", "chunk", "p.*")
+    words = lambda c, w: F.struct(F.lit(w).alias("weight"), text.lexemes(F.coalesce(F.col(c), F.lit(""))).alias("words"))
+    each = chunks.select("element_id", "site_id", "chunk", F.inline(F.array(words("title", "A"), words("body", "B"))))
+    return each.select("element_id", "site_id", "chunk", "weight", F.posexplode("words").alias("pos", "lexeme")).select("element_id", "site_id", "chunk", "lexeme", (F.col("pos") + 1).alias("pos"), "weight")
 
 
 def posting_lists(chunks: DataFrame) -> DataFrame:
